@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import dress, tokens
+from postmill.llm import boilerplate, dress, tokens
 from postmill.plans.registry import Registry
-from postmill.runtime import load
+from postmill.runtime import broadcast_if_small, load, materialize
 
 R = Registry()
 
@@ -35,3 +35,14 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p8_ids")
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(load(spark, sf, "documents"), "doc_id", "text")
+
+
+@R.add("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    src = load(spark, sf, "sources").select(F.col("source_name"), F.col("careers_url").alias("host"), F.col("company_name").alias("company"), "lang").dropDuplicates(["source_name"])
+    jobs = load(spark, sf, "jobs").select("id", "source_name", "title", "description").join(broadcast_if_small(src, 50_000), "source_name", "left")
+    lines = materialize(boilerplate.page_lines(jobs, key="id", text="description", host="host", company="company", lang="lang"), "lines")
+    titles = boilerplate.title_wording(jobs, lines.where("why = 'slot'").select("loose"), key="id", title="title", company="company")
+    return lines.select(F.col("id").alias("job_id"), F.lit("description").alias("field"), "line_no").union(
+        titles.select(F.col("id").alias("job_id"), F.lit("title").alias("field"), F.lit(1).alias("line_no"))
+    )
