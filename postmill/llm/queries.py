@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import boilerplate, dress, tokens
+from postmill.llm import boilerplate, dress, gazetteer, tokens
 from postmill.plans.registry import Registry
 from postmill.runtime import broadcast_if_small, load, materialize
 
@@ -46,3 +46,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.col("id").alias("job_id"), F.lit("description").alias("field"), "line_no").union(
         titles.select(F.col("id").alias("job_id"), F.lit("title").alias("field"), F.lit(1).alias("line_no"))
     )
+
+
+@R.add("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = gazetteer.map_values(load(spark, sf, "jobs").select("id", "location"), load(spark, sf, "places"), key="id", value="location")
+    return out.select(F.col("id").alias("job_id"), F.col("place_id").cast("int").alias("place_id"))
