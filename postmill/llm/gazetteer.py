@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.runtime import materialize
@@ -229,24 +229,19 @@ def _read_list(entries: DataFrame) -> Gazetteer:
     return Gazetteer([tuple(r) for r in rows])
 
 
-def map_values(rows: DataFrame, entries: DataFrame, *, key: str, value: str) -> DataFrame:
-    """(key, place_id): one row per listed place that a non-blank value names; place_id 0 if it names none that can be
-    told. NULL and blank values have no rows. Several places give several rows, each place once. Repeated rows are
-    mapped each. The reference list is bounded by ``MOST_ENTRIES``; values are not.
-    """
-    spark = rows.sparkSession
+def places_of(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """(value, places, words): for each row of ``values(value)``, distinct and not blank, the listed places it names,
+    [0] if none can be told, and its words in alphabetical order."""
+    spark = values.sparkSession
     g = _read_list(entries)
-    blank = ~F.col(value).rlike(r"(?U)[^\s\p{Z}]")
-    distinct = materialize(rows.where(F.col(value).isNotNull() & ~blank).select(F.col(value).alias("value")).distinct(), "values")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, out = b.column(0), []
-            for x in v.to_pylist():
-                out.append(sorted(set(g.windows(*words(plain(x))))))
+            v = b.column(0)
+            out = [sorted(set(g.windows(*words(plain(x))))) for x in v.to_pylist()]
             yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.string()))], ["value", "windows"])
 
-    seen = materialize(distinct.mapInArrow(find, "value string, windows array<string>"), "windows")
+    seen = materialize(values.select("value").mapInArrow(find, "value string, windows array<string>"), "windows")
     each = seen.select("value", F.explode("windows").alias("window"))
     names = spark.createDataFrame([(x,) for x in g.fuzzy], "text string")
     pairs = similar(each.select(F.col("window").alias("text")).distinct(), names)
@@ -263,12 +258,25 @@ def map_values(rows: DataFrame, entries: DataFrame, *, key: str, value: str) ->
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, out = b.column(0), []
+            v, out, said = b.column(0), [], []
             for x, f in zip(v.to_pylist(), b.column(1).to_pylist()):
-                out.append(g.resolve(*words(plain(x)), {d["window"]: d["names"] for d in f or []}) or [0])
-            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.int32()))], ["value", "places"])
+                w, cut = words(plain(x))
+                out.append(sorted(g.resolve(w, cut, {d["window"]: d["names"] for d in f or []})) or [0])
+                said.append(" ".join(sorted(w)))
+            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.int32())), pa.array(said, pa.string())], ["value", "places", "words"])
+
+    return seen.select("value").join(fixes, "value", "left").select("value", "fixes").mapInArrow(settle, "value string, places array<int>, words string")
 
-    mapped = distinct.join(fixes, "value", "left").select("value", "fixes").mapInArrow(settle, "value string, places array<int>")
-    return rows.select(F.col(key), F.col(value).alias("value")).join(mapped, "value").select(key, F.explode("places").alias("place_id"))
 
+def not_blank(c: Column) -> Column:
+    return c.isNotNull() & c.rlike(r"(?U)[^\s\p{Z}]")
 
+
+def map_values(rows: DataFrame, entries: DataFrame, *, key: str, value: str) -> DataFrame:
+    """(key, place_id): one row per listed place that a non-blank value names; place_id 0 if it names none that can be
+    told. NULL and blank values have no rows. Several places give several rows, each place once. Repeated rows are
+    mapped each. The reference list is bounded by ``MOST_ENTRIES``; values are not.
+    """
+    said = rows.where(not_blank(F.col(value))).select(F.col(key), F.col(value).alias("value"))
+    mapped = places_of(materialize(said.select("value").distinct(), "values"), entries)
+    return said.join(mapped, "value").select(key, F.explode("places").alias("place_id"))

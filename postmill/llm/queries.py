@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import boilerplate, dress, gazetteer, tokens
+from postmill.llm import boilerplate, dress, gazetteer, history_dedup, tokens
 from postmill.plans.registry import Registry
-from postmill.runtime import broadcast_if_small, load, materialize
+from postmill.runtime import broadcast_if_small, load, materialize, shared_dir
 
 R = Registry()
 
@@ -52,3 +54,37 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     out = gazetteer.map_values(load(spark, sf, "jobs").select("id", "location"), load(spark, sf, "places"), key="id", value="location")
     return out.select(F.col("id").alias("job_id"), F.col("place_id").cast("int").alias("place_id"))
+
+
+_KNOWN = ("id", "batch_no", "company_name", "title", "location", "job_url", "source_name", "external_job_id")
+
+
+def _canonical_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = load(spark, sf, "jobs").select(*_KNOWN)
+    c = history_dedup.canonical(jobs, load(spark, sf, "places"))
+    return materialize(c.join(jobs.select("id", "batch_no"), "id"), "canonical")
+
+
+@R.add("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch 0 as the history, the rest as one delivery."""
+    c = _canonical_jobs(spark, sf)
+    kept = history_dedup.History(spark, f"{shared_dir(spark)}/postmill/history-{uuid.uuid4().hex}")
+    kept.append(history_dedup.keys(c.where("batch_no = 0")))
+    found = kept.take(c.where("batch_no >= 1"))
+    return found.select("accepted_id", F.col("id").alias("job_id"))
+
+
+@R.add("p1_batches")
+def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch after batch against all before it: rows and repeats of each."""
+    c = _canonical_jobs(spark, sf)
+    kept = history_dedup.History(spark, f"{shared_dir(spark)}/postmill/history-{uuid.uuid4().hex}")
+    kept.append(history_dedup.keys(c.where("batch_no = 0")))
+    parts = [r[0] for r in c.select("batch_no").where("batch_no >= 1").distinct().orderBy("batch_no").collect()]  # a handful of batch numbers
+    out = None
+    for b in parts:
+        found = kept.take(c.where(F.col("batch_no") == b)).agg(F.count(F.lit(1)).alias("repeats")).withColumn("batch_no", F.lit(b))
+        out = found if out is None else out.union(found)
+    sizes = c.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows")).where("batch_no >= 1")
+    return sizes if out is None else sizes.join(out, "batch_no")
