@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import boilerplate, dress, gazetteer, history_dedup, tokens
+from postmill.llm import boilerplate, dress, gazetteer, history_dedup, splitting, tokens
 from postmill.plans.registry import Registry
 from postmill.runtime import broadcast_if_small, load, materialize, shared_dir
 
@@ -88,3 +88,15 @@ def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
         out = found if out is None else out.union(found)
     sizes = c.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows")).where("batch_no >= 1")
     return sizes if out is None else sizes.join(out, "batch_no")
+
+
+@R.add("p10_pieces")
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.pieces(load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "split_limits"))
+
+
+@R.add("p10_texts")
+def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of one limit with their texts."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return splitting.texts(splitting.pieces(docs, load(spark, sf, "split_limits").where("limit_name = 'usual'")), docs)
