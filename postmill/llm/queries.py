@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import boilerplate, dress, gazetteer, history_dedup, splitting, tokens
+from postmill.llm import boilerplate, dress, gazetteer, history_dedup, mixing, splitting, tokens
 from postmill.plans.registry import Registry
 from postmill.runtime import broadcast_if_small, load, materialize, shared_dir
 
@@ -100,3 +100,19 @@ def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces of one limit with their texts."""
     docs = load(spark, sf, "documents").select("doc_id", "text")
     return splitting.texts(splitting.pieces(docs, load(spark, sf, "split_limits").where("limit_name = 'usual'")), docs)
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialize(mixing.sized(load(spark, sf, "documents"), key="doc_id", source="source", text="text"), "before")
+    planned = materialize(mixing.plan(sizes, load(spark, sf, "mix_targets")), "planned")
+    return mixing.mix(sizes, planned), planned
+
+
+@R.add("p9_mix")
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
+
+
+@R.add("p9_shares")
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf))
