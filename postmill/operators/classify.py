@@ -75,6 +75,19 @@ def is_restricted(url: Column) -> Column:
     return is_public(url) & _any(host(url), RESTRICTED)
 
 
+def system_of_host(h: Column) -> Column:
+    """The posting system that a host belongs to: its own name or one under it; 'restricted_board' for those boards.
+    Give a column that holds the host, so it is read from the address once."""
+
+    def under(names: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for n in names:
+            out = out | (h == n) | h.endswith("." + n)
+        return out
+
+    return _chain([(_any(h, RESTRICTED), "restricted_board"), *[(under(n), s) for s, n in SYSTEM_HOSTS.items()]])
+
+
 def normal_hint(hint: Column) -> Column:
     """The system a hint names exactly, by its own or another spelling; else NULL."""
     t = F.replace(F.replace(_low(hint), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))

@@ -12,41 +12,50 @@ from postmill.functions.urls import identity_url
 KINDS = ("company_ats_board_external", "company_ats_external", "job_url", "company_title_location_source")
 
 
-def _parts() -> tuple[Column, ...]:
-    return tuple(norm(F.col(c)) for c in ("company_name", "ats_type", "board_slug", "external_job_id", "title", "location", "source_name"))
+_PARTS = {"_co": "company_name", "_ats": "ats_type", "_board": "board_slug", "_ext": "external_job_id", "_ti": "title", "_lo": "location", "_so": "source_name"}
 
 
-def identity() -> Column:
-    """struct(kind, key) of the columns of a posting: the strongest identity that it has.
+def _staged(df: DataFrame) -> DataFrame:
+    """The normal forms as columns of their own: each is worked out once, however often the rules name it."""
+    return df.withColumns({**{k: norm(F.col(v)) for k, v in _PARTS.items()}, "_url": identity_url(F.col("job_url"))})
 
-    The key joins its parts by a bar; NULL parts count as empty.
-    """
-    co, ats, board, ext, title, loc, src = _parts()
-    url = identity_url(F.col("job_url"))
-    key = lambda *c: F.concat_ws("|", *c)
-    strong = (co != "") & (ats != "") & (ext != "")
+
+def _pair(kind: str, *key: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0])).alias("key"))
+
+
+def _best() -> Column:
+    strong = (F.col("_co") != "") & (F.col("_ats") != "") & (F.col("_ext") != "")
     return (
-        F.when(strong & (board != ""), F.struct(F.lit(KINDS[0]).alias("kind"), key(co, ats, board, ext).alias("key")))
-        .when(strong, F.struct(F.lit(KINDS[1]), key(co, ats, ext)))
-        .when(url.isNotNull(), F.struct(F.lit(KINDS[2]), url))
-        .otherwise(F.struct(F.lit(KINDS[3]), key(co, title, loc, src)))
+        F.when(strong & (F.col("_board") != ""), _pair(KINDS[0], "_co", "_ats", "_board", "_ext"))
+        .when(strong, _pair(KINDS[1], "_co", "_ats", "_ext"))
+        .when(F.col("_url").isNotNull(), _pair(KINDS[2], "_url"))
+        .otherwise(_pair(KINDS[3], "_co", "_ti", "_lo", "_so"))
     )
 
 
-def candidates() -> Column:
-    """array of struct(priority, kind, key): the strongest identity, then the address, then company with title, place
-    and source if the strongest is weak."""
-    co, _, _, _, title, loc, src = _parts()
-    best, url = identity(), identity_url(F.col("job_url"))
-    weak = best["kind"].isin(KINDS[2], KINDS[3])
+def with_identity(df: DataFrame, out: str = "identity") -> DataFrame:
+    """``df`` with struct(kind, key): the strongest identity that a posting has.
+
+    The key joins its parts by a bar; NULL parts count as empty.
+    """
+    return _staged(df).withColumn(out, _best()).drop(*_PARTS, "_url")
+
+
+def with_candidates(df: DataFrame, out: str = "candidates") -> DataFrame:
+    """``df`` with an array of struct(priority, kind, key): the strongest identity, then the address, then company with
+    title, place and source if the strongest is weak."""
+    d = _staged(df).withColumn("_best", _best())
+    kind = F.col("_best.kind")
     made = F.array_compact(
         F.array(
-            best,
-            F.when((best["kind"] != KINDS[2]) & url.isNotNull(), F.struct(F.lit(KINDS[2]).alias("kind"), url.alias("key"))),
-            F.when(weak & (best["kind"] != KINDS[3]), F.struct(F.lit(KINDS[3]).alias("kind"), F.concat_ws("|", co, title, loc, src).alias("key"))),
+            F.col("_best"),
+            F.when((kind != KINDS[2]) & F.col("_url").isNotNull(), _pair(KINDS[2], "_url")),
+            F.when(kind == KINDS[2], _pair(KINDS[3], "_co", "_ti", "_lo", "_so")),
         )
     )
-    return F.transform(made, lambda x, i: F.struct(i.alias("priority"), x["kind"].alias("kind"), x["key"].alias("key")))
+    d = d.withColumn("_made", made)
+    return d.withColumn(out, F.transform("_made", lambda x, i: F.struct(i.alias("priority"), x["kind"].alias("kind"), x["key"].alias("key")))).drop(*_PARTS, "_url", "_best", "_made")
 
 
 def keep_first(df: DataFrame, keys: list[Column], *order: Column) -> DataFrame:

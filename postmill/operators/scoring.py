@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import clamp, first_hit, hits, hits_by_name, norm, search_text
+from postmill.functions.text import clamp, first_hit, hits, hits_by_name, search_text
 
 #: Points of each rule. Fixed values of the model; pass others to change it.
 WEIGHTS = {
@@ -37,101 +37,97 @@ class Phrases:
     support_context: list[str] = field(default_factory=list)
 
 
-def _some(c: Column) -> Column:
-    return F.size(c) > 0
-
-
 def score(df: DataFrame, phrases: Phrases, *, title: str = "title", location: str = "location", fields: tuple[str, ...] = ("title", "location", "description"), weights: dict[str, int] | None = None) -> DataFrame:
     """``df`` with ``match_score``, ``match_reasons``, ``risk_flags``, ``relevance_tier`` and ``is_relevant``.
 
     Phrases match as substrings, without letter case. NULL and empty fields match nothing; such rows score 0 and are
     'not_relevant'.
     """
-    out = df.withColumn("_s", _analysis(phrases, weights or WEIGHTS, title, location, fields))
-    made = {n: F.col(f"_s.{n}") for n in ("match_score", "match_reasons", "risk_flags", "relevance_tier", "is_relevant")}
-    return out.withColumns(made).drop("_s")
+    return _finish(df, _analysis(df, phrases, weights or WEIGHTS, title, location, fields), ("match_score", "match_reasons", "risk_flags", "relevance_tier", "is_relevant"))
 
 
 def explain(df: DataFrame, phrases: Phrases, *, title: str = "title", location: str = "location", fields: tuple[str, ...] = ("title", "location", "description"), weights: dict[str, int] | None = None) -> DataFrame:
     """As ``score``, with what matched where and a sentence on why."""
-    out = df.withColumn("_s", _analysis(phrases, weights or WEIGHTS, title, location, fields))
     names = ("match_score", "match_reasons", "risk_flags", "relevance_tier", "is_relevant", "positive_matches", "negative_matches", "title_matches", "text_matches", "location_signals", "support_matches", "summary")
-    return out.withColumns({n: F.col(f"_s.{n}") for n in names}).drop("_s")
+    return _finish(df, _analysis(df, phrases, weights or WEIGHTS, title, location, fields), names)
+
 
+def _finish(df: DataFrame, made: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return made.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"_{n}").alias(n) for n in names])
 
-def _analysis(p: Phrases, w: dict[str, int], title: str, location: str, fields: tuple[str, ...]) -> Column:
-    t, full, loc = F.lower(F.trim(F.coalesce(F.col(title), F.lit("")))), search_text(*[F.col(f) for f in fields]), F.lower(F.trim(F.coalesce(F.col(location), F.lit(""))))
+
+def _analysis(df: DataFrame, p: Phrases, w: dict[str, int], title: str, location: str, fields: tuple[str, ...]) -> DataFrame:
+    """``df`` with the results under names with an underscore. In stages, so that each text is built once and not once
+    per phrase: a lambda evaluates what it holds for every element."""
+    c = F.col
     none = F.array().cast("array<string>")
-    one = lambda c: F.array_compact(F.array(c))
-    join = lambda c: F.array_join(c, ", ")
-
-    role_t = first_hit(t, p.target_roles)
-    role_x = F.when(role_t.isNull(), first_hit(full, p.target_roles))
-
-    all_skills = hits_by_name(full, p.skills)
-    free = F.filter(all_skills, lambda s: ~s.isin(*p.gated)) if p.gated else all_skills
-    titled, context = _some(hits(t, p.support_titles)), _some(hits(full, p.support_context))
-    skills = F.when(titled | _some(free) | context, all_skills).otherwise(free)
-    places = F.array_union(none, F.filter(F.array(*[F.lit(x) for x in p.locations]) if p.locations else none, lambda x: loc.contains(F.lower(F.trim(x))) | full.contains(F.lower(F.trim(x)))))
-    supports = hits(full, p.support)
-    supported = _some(supports) & (titled | _some(skills) | context)
-
-    adj_t = first_hit(t, p.adjacent_roles)
-    adj_x = F.when(adj_t.isNull(), first_hit(full, p.adjacent_roles))
-    around = hits(full, p.adjacent_context)
-    may = _some(around) | _some(skills) | _some(supports)
-    cond_t = F.when(may, first_hit(t, p.conditional_roles))
-    cond_x = F.when(may & cond_t.isNull(), first_hit(full, p.conditional_roles))
-    bad = hits(full, p.negatives)
-
-    points = lambda c, n: F.when(c.isNotNull(), w[n]).otherwise(0)
-    capped = lambda c, n, cap: F.least(F.size(c) * w[n], F.lit(w[cap]))
+    some = lambda x: F.size(x) > 0
+    one = lambda x: F.array_compact(F.array(x))
+    join = lambda x: F.array_join(x, ", ")
+    t, full, loc = c("_t"), c("_x"), c("_l")
+    places = F.filter(F.array(*[F.lit(x) for x in p.locations]), lambda x: loc.contains(F.lower(F.trim(x))) | full.contains(F.lower(F.trim(x)))) if p.locations else none
+    d = df.withColumns({"_t": F.lower(F.trim(F.coalesce(c(title), F.lit("")))), "_x": search_text(*[c(f) for f in fields]), "_l": F.lower(F.trim(F.coalesce(c(location), F.lit(""))))})
+    d = d.withColumns({
+        "_rt": first_hit(t, p.target_roles), "_rx": first_hit(full, p.target_roles), "_sk": hits_by_name(full, p.skills),
+        "_titled": some(hits(t, p.support_titles)), "_ctx": some(hits(full, p.support_context)), "_pl": places, "_su": hits(full, p.support),
+        "_at": first_hit(t, p.adjacent_roles), "_ax": first_hit(full, p.adjacent_roles), "_ac": hits(full, p.adjacent_context),
+        "_ct": first_hit(t, p.conditional_roles), "_cx": first_hit(full, p.conditional_roles), "_ng": hits(full, p.negatives),
+    })
+    d = d.withColumn("_free", F.filter("_sk", lambda s: ~s.isin(*p.gated)) if p.gated else c("_sk"))
+    d = d.withColumn("_sk", F.when(c("_titled") | some("_free") | c("_ctx"), c("_sk")).otherwise(c("_free")))
+    may = some("_ac") | some("_sk") | some("_su")
+    d = d.withColumns({
+        "_rx": F.when(c("_rt").isNull(), c("_rx")), "_ax": F.when(c("_at").isNull(), c("_ax")), "_ct": F.when(may, c("_ct")),
+        "_cx": F.when(may & c("_ct").isNull(), c("_cx")), "_sup": some("_su") & (c("_titled") | some("_sk") | c("_ctx")),
+    })
+    points = lambda x, n: F.when(c(x).isNotNull(), w[n]).otherwise(0)
+    capped = lambda x, n, cap: F.least(F.size(x) * w[n], F.lit(w[cap]))
     total = (
-        points(role_t, "role_in_title") + points(role_x, "role_in_text")
-        + capped(skills, "skill_per_match", "skill_cap") + capped(places, "location_per_match", "location_cap")
-        + F.when(supported, capped(supports, "support_signal_bonus", "support_signal_cap")).otherwise(0)
-        + points(adj_t, "adjacent_role_in_title") + points(adj_x, "adjacent_role_in_text")
-        + points(cond_t, "conditional_adjacent_role_bonus") + points(cond_x, "adjacent_role_in_text")
-        - capped(bad, "negative_penalty", "negative_cap")
+        points("_rt", "role_in_title") + points("_rx", "role_in_text")
+        + capped("_sk", "skill_per_match", "skill_cap") + capped("_pl", "location_per_match", "location_cap")
+        + F.when(c("_sup"), capped("_su", "support_signal_bonus", "support_signal_cap")).otherwise(0)
+        + points("_at", "adjacent_role_in_title") + points("_ax", "adjacent_role_in_text")
+        + points("_ct", "conditional_adjacent_role_bonus") + points("_cx", "adjacent_role_in_text")
+        - capped("_ng", "negative_penalty", "negative_cap")
     )
-    final = clamp(total).cast("bigint")
     near = "adjacent customer-facing technical fit: "
     reasons = F.array_compact(
         F.array(
-            F.concat(F.lit("title matches target role: "), role_t),
-            F.concat(F.lit("description mentions target role: "), role_x),
-            F.when(_some(skills), F.concat(F.lit("matched skills: "), join(skills))),
-            F.when(_some(places), F.concat(F.lit("location signals: "), join(places))),
-            F.when(supported, F.concat(F.lit("support/ops signals: "), join(supports))),
-            F.concat(F.lit(near), adj_t),
-            F.concat(F.lit(near), adj_x),
-            F.concat(F.lit(near), cond_t, F.lit(" (technical context)")),
-            F.concat(F.lit(near), cond_x, F.lit(" (technical context)")),
+            F.concat(F.lit("title matches target role: "), c("_rt")),
+            F.concat(F.lit("description mentions target role: "), c("_rx")),
+            F.when(some("_sk"), F.concat(F.lit("matched skills: "), join(c("_sk")))),
+            F.when(some("_pl"), F.concat(F.lit("location signals: "), join(c("_pl")))),
+            F.when(c("_sup"), F.concat(F.lit("support/ops signals: "), join(c("_su")))),
+            F.concat(F.lit(near), c("_at")),
+            F.concat(F.lit(near), c("_ax")),
+            F.concat(F.lit(near), c("_ct"), F.lit(" (technical context)")),
+            F.concat(F.lit(near), c("_cx"), F.lit(" (technical context)")),
         )
     )
-    core = role_t.isNotNull() | role_x.isNotNull()
-    adjacent = F.coalesce(adj_t, adj_x, cond_t, cond_x).isNotNull()
-    second = _some(skills) | supported
+    core = c("_rt").isNotNull() | c("_rx").isNotNull()
+    adjacent = F.coalesce("_at", "_ax", "_ct", "_cx").isNotNull()
+    second = some("_sk") | c("_sup")
+    d = d.withColumns({"_match_score": clamp(total).cast("bigint"), "_match_reasons": reasons, "_risk_flags": F.transform("_ng", lambda x: F.concat(F.lit("negative signal: "), x))})
     tier = (
-        F.when(final <= 0, "not_relevant").when(core, "core_target_fit").when(adjacent, "adjacent_customer_facing_technical_fit").when(second, "core_target_fit").otherwise("not_relevant")
+        F.when(c("_match_score") <= 0, "not_relevant").when(core, "core_target_fit").when(adjacent, "adjacent_customer_facing_technical_fit").when(second, "core_target_fit").otherwise("not_relevant")
     )
-    both = F.when(F.coalesce(cond_t, cond_x).isNotNull(), around).otherwise(none)
-    sup = F.when(supported, supports).otherwise(none)
+    both = F.when(F.coalesce("_ct", "_cx").isNotNull(), c("_ac")).otherwise(none)
+    sup = F.when(c("_sup"), c("_su")).otherwise(none)
+    d = d.withColumns({
+        "_relevance_tier": tier, "_is_relevant": (c("_match_score") > 0) & (core | adjacent | second),
+        "_positive_matches": F.array_distinct(F.concat(one(c("_rt")), one(c("_rx")), c("_sk"), sup, one(c("_at")), one(c("_ax")), one(c("_ct")), one(c("_cx")), both)),
+        "_negative_matches": c("_ng"), "_title_matches": F.concat(one(c("_rt")), one(c("_at")), one(c("_ct"))),
+        "_text_matches": F.array_distinct(F.concat(one(c("_rx")), c("_sk"), sup, one(c("_ax")), one(c("_cx")), both)),
+        "_location_signals": c("_pl"), "_support_matches": sup,
+    })
     summary = (
-        F.when(tier == "core_target_fit", "relevant: a positive score and a core signal")
-        .when(tier == "adjacent_customer_facing_technical_fit", "relevant: an adjacent role")
-        .when(final <= 0, "not relevant: nothing positive is left after penalties")
-        .when(_some(reasons), "not relevant: weak or location signals only")
+        F.when(c("_relevance_tier") == "core_target_fit", "relevant: a positive score and a core signal")
+        .when(c("_relevance_tier") == "adjacent_customer_facing_technical_fit", "relevant: an adjacent role")
+        .when(c("_match_score") <= 0, "not relevant: nothing positive is left after penalties")
+        .when(some("_match_reasons"), "not relevant: weak or location signals only")
         .otherwise("not relevant: nothing matched")
     )
-    return F.struct(
-        final.alias("match_score"), reasons.alias("match_reasons"), F.transform(bad, lambda x: F.concat(F.lit("negative signal: "), x)).alias("risk_flags"),
-        tier.alias("relevance_tier"), ((final > 0) & (core | adjacent | second)).alias("is_relevant"),
-        F.array_distinct(F.concat(one(role_t), one(role_x), skills, sup, one(adj_t), one(adj_x), one(cond_t), one(cond_x), both)).alias("positive_matches"),
-        bad.alias("negative_matches"), F.concat(one(role_t), one(adj_t), one(cond_t)).alias("title_matches"),
-        F.array_distinct(F.concat(one(role_x), skills, sup, one(adj_x), one(cond_x), both)).alias("text_matches"),
-        places.alias("location_signals"), sup.alias("support_matches"), summary.alias("summary"),
-    )
+    return d.withColumn("_summary", summary)
 
 
 def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
@@ -142,5 +138,3 @@ def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFram
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(1, n)).drop("_rank")
 
-
-__all__ = ["WEIGHTS", "Phrases", "explain", "norm", "score", "top_per_group"]

@@ -2,6 +2,6 @@
 
 
 def all_registries() -> list:
-    from postmill.plans import training
+    from postmill.plans import pages, runs, scores, stars, texts, training
 
-    return [training.R]
+    return [pages.R, runs.R, scores.R, stars.R, texts.R, training.R]

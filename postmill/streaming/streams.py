@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from postmill.operators.identity import identity
+from postmill.operators.identity import with_identity
 from postmill.operators.merge import Snapshots, merge
 
 
@@ -24,7 +24,7 @@ def sessions(events: DataFrame, *, at: str, key: str, gap: str = "30 minutes", l
 
 def first_sightings(postings: DataFrame, *, at: str, late: str = "14 days") -> DataFrame:
     """Postings of which no row with the same identity came within the watermark before."""
-    keyed = postings.withColumn("_id", identity()).withColumns({"identity_kind": F.col("_id.kind"), "identity_key": F.col("_id.key")}).drop("_id")
+    keyed = with_identity(postings, "_id").withColumns({"identity_kind": F.col("_id.kind"), "identity_key": F.col("_id.key")}).drop("_id")
     return keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(["identity_kind", "identity_key"])
 
 
