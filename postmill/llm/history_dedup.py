@@ -111,7 +111,7 @@ def canonical(rows: DataFrame, places: DataFrame, known_words: DataFrame | None
         counts = counts.union(known_words.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
     fix = counts.join(slips(counts), "word", "left").select("word", "right", (F.col("right").isNull() & (F.col("n") < SLIP_RATIO) & ~F.col("word").rlike(r"\d") & (F.length("word") >= 4)).alias("odd")).where("odd or right is not null")
-    each = plain_rows.select("id", F.explode("title_words").alias("word")).join(broadcast_if_small(materialize(fix, "fix"), 1_000_000), "word", "left")
+    each = plain_rows.select("id", F.explode("title_words").alias("word")).join(broadcast_if_small(materialize(fix, "fix"), 50_000), "word", "left")
     titles = each.groupBy("id").agg(
         F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("words"), F.coalesce(F.bool_or("odd"), F.lit(False)).alias("odd")
     )
@@ -189,7 +189,7 @@ class History:
         near = near.select(F.lit(3).cast("tinyint").alias("kind"), "proof", "words", "i")
         least = materialize(hit.union(near).groupBy("kind", "proof", "words").agg(F.min("i").alias("least")), "least")
         # rows meet what they are known by; a key that many rows have lies on the side that may be split
-        at = lambda kind: broadcast_if_small(least.where(F.col("kind") == kind).drop("kind"), 500_000)
+        at = lambda kind: broadcast_if_small(least.where(F.col("kind") == kind).drop("kind"), 20_000)
         t = c.where(F.col("company").isNotNull() & F.col("words").isNotNull()).select("id", "words", F.explode(_wheres()).alias("place"), "company")
         t = t.select("id", F.concat_ws(" @ ", "company", "place").alias("proof"), "words")
         rows = (
