@@ -90,11 +90,12 @@ class Gazetteer:
         self.vocabulary = {w for k in self.names for w in k.split()}
         # codes are no words; only names of five letters or more can be misspelt
         self.fuzzy = [k for k in self.names if len(k) >= 5]
+        self.widest = max((len(k) for k in self.names), default=0) + 1  # a slip adds one letter at most
+        self.area_words = {x for k in self.areas for x in k.split()}
 
     def windows(self, w: list[str], cut: list[bool]) -> list[str]:
         """Runs of words with exactly one that no name and no area has: what may be a misspelt name."""
-        area_words = {x for k in self.areas for x in k.split()}
-        strange = [x not in self.vocabulary and x not in area_words and len(x) > 1 and not x.isdigit() for x in w]
+        strange = [x not in self.vocabulary and x not in self.area_words and len(x) > 1 and not x.isdigit() for x in w]
         out = []
         for i in range(len(w)):
             for j in range(i + 1, min(len(w), i + self.longest) + 1):
@@ -102,7 +103,7 @@ class Gazetteer:
                     break
                 if sum(strange[i:j]) != 1:
                     continue
-                if all(s or x in self.vocabulary for x, s in zip(w[i:j], strange[i:j])) and len("".join(w[i:j])) >= 4:
+                if all(s or x in self.vocabulary for x, s in zip(w[i:j], strange[i:j])) and 4 <= sum(map(len, w[i:j])) < self.widest + 1:
                     out.append(" ".join(w[i:j]))
         return out
 
@@ -193,6 +194,9 @@ def bigrams(c):
 def similar(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(left, right, similarity): pairs of ``left(text)`` and ``right(text)``, both distinct, whose bigram sets have at
     least that Jaccard similarity; by prefix filtering. A left text has as many rows as it has partners."""
+    # a text has one bigram more than letters; one that is too long for any partner is left out before it is taken apart
+    most_l, most_r = (d.agg(F.max(F.length("text"))).first()[0] or 0 for d in (left, right))
+    left, right = left.where((F.length("text") + 1) * threshold <= most_r + 1 + 1e-9), right.where((F.length("text") + 1) * threshold <= most_l + 1 + 1e-9)
     both = left.select(F.lit(0).alias("side"), "text").union(right.select(F.lit(1).alias("side"), "text")).where(F.length("text") > 0)
     toks = both.select("side", "text", bigrams(F.col("text")).alias("g"))
     toks = materialize(toks, "grams")
@@ -205,12 +209,12 @@ def similar(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) ->
         .agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
         .select("side", "text", F.col("o.t").alias("o"), F.size("o").alias("n"))
     )
-    keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     pre = materialize(ordered.select("side", "text", "o", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")), "prefix")
     a = pre.where("side = 0").select(F.col("text").alias("left"), F.col("o").alias("lo"), F.col("n").alias("ln"), F.col("at").alias("la"), "t")
     b = pre.where("side = 1").select(F.col("text").alias("right"), F.col("o").alias("ro"), F.col("n").alias("rn"), F.col("at").alias("ra"), "t")
-    need = F.ceil((F.col("ln") + F.col("rn")) * (threshold / (1 + threshold)))
-    length = (F.col("ln") >= threshold * F.col("rn")) & (F.col("rn") >= threshold * F.col("ln"))
+    need = F.ceil((F.col("ln") + F.col("rn")) * (threshold / (1 + threshold)) - 1e-9)
+    length = (F.col("ln") >= threshold * F.col("rn") - 1e-9) & (F.col("rn") >= threshold * F.col("ln") - 1e-9)
     # before this token at most min(la, ra) are shared, after it at most the shorter rest
     place = F.least("la", "ra") + 1 + F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra")) - 1 >= need
     first = F.size(F.array_intersect(F.slice("lo", F.lit(1), F.col("la")), F.slice("ro", F.lit(1), F.col("ra")))) == 0  # each pair at its first common token
@@ -218,7 +222,7 @@ def similar(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) ->
     return (
         a.join(b, "t").where(length & place & first)
         .select("left", "right", (shared / (F.col("ln") + F.col("rn") - shared)).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+        .where(F.col("similarity") >= threshold - 1e-12)
     )
 
 
