@@ -30,7 +30,7 @@ def sized(docs: DataFrame, *, key: str, source: str, text: str, path: str = DEFA
     by = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("s").over(by), F.lit(0)).alias("base"))  # BUCKETS rows a source at most
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(broadcast_if_small(sums, 1_000_000), ["source", "bucket"])
+    d = d.join(sums, ["source", "bucket"])  # laid out by the keys of the window that follows
     return d.select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("before"))
 
 
