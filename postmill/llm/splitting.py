@@ -23,7 +23,7 @@ from postmill.runtime import materialize
 
 #: Characters a range holds, and characters it sees of its neighbours.
 RANGE, HALO = 32_768, 8_192
-#: A unit of more ids is cut inside.
+#: A unit of more ids is cut inside; fewer where limits are tight, so that each nominal place has a unit's end near.
 MOST_IDS = 24
 #: Share of the room between overlap and limit that pieces aim at; cuts move by a third of that.
 FILL = 0.75
@@ -71,25 +71,25 @@ class Unit:
         self.space = text.startswith(" ") and len(text.rstrip()) > 0
 
 
-def _inside(text: str, enc: Encoder) -> list[str]:
-    """A long unit in parts of at most ``MOST_IDS`` ids: at pre-tokens, else between characters."""
+def _inside(text: str, enc: Encoder, most: int) -> list[str]:
+    """A long unit in parts of at most ``most`` ids: at pre-tokens, else between characters."""
     out, held, size = [], "", 0
     for w in enc.split.findall(text):
         ids = enc.part(w)
-        if len(ids) > MOST_IDS:
+        if len(ids) > most:
             if held:
                 out.append(held)
                 held, size = "", 0
-            step = max(1, len(w) * MOST_IDS // (len(ids) + 1))
+            step = max(1, len(w) * most // (len(ids) + 1))
             at = 0
             while at < len(w):
                 n = step
-                while n > 1 and len(enc.part(w[at : at + n])) > MOST_IDS:
+                while n > 1 and len(enc.part(w[at : at + n])) > most:
                     n = max(1, n * 2 // 3)
                 out.append(w[at : at + n])
                 at += n
             continue
-        if size + len(ids) > MOST_IDS:
+        if size + len(ids) > most:
             out.append(held)
             held, size = "", 0
         held += w
@@ -102,8 +102,8 @@ def _inside(text: str, enc: Encoder) -> list[str]:
 class Units:
     """The units of a batch of texts as arrays; each distinct unit is looked at once per process."""
 
-    def __init__(self, enc: Encoder):
-        self.enc = enc
+    def __init__(self, enc: Encoder, most: int = MOST_IDS):
+        self.enc, self.most = enc, most
         self.memo: dict[str, list[Unit]] = {}
 
     def _look(self, text: str) -> list[Unit]:
@@ -111,8 +111,8 @@ class Units:
         if got is None:
             one = Unit(text, self.enc)
             got = [one]
-            if one.alone > MOST_IDS:
-                parts = _inside(text, self.enc)
+            if one.alone > self.most:
+                parts = _inside(text, self.enc, self.most)
                 got = [Unit(p, self.enc, True) for p in parts[:-1]] + [Unit(parts[-1], self.enc)]
             if len(text) <= 64:
                 if len(self.memo) > 300_000:
@@ -151,13 +151,14 @@ class Units:
         return {k: v[at] for k, v in cols.items()}, ends[bounds]
 
 
-def _context(u: dict[str, np.ndarray], a: int, b: int) -> tuple[np.ndarray, ...]:
-    """(characters, ids in place, ids at an end, quality) of the units a..b of one text."""
-    chars, alone, cut = u["chars"][a:b], u["alone"][a:b], u["cut"][a:b].copy()
-    nxt_space = np.concatenate([u["space"][a + 1 : b], [1]]) if b > a else np.zeros(0, np.int64)
-    nxt_lower = np.concatenate([u["lower"][a + 1 : b], [0]]) if b > a else np.zeros(0, np.int64)
-    cut[(cut == SENTENCE) & (nxt_lower == 1)] = WORD
-    return chars, np.where(nxt_space == 1, alone, u["split"][a:b]), alone, cut
+def _context(u: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(characters, ids in place, ids at an end, quality) of the units of all texts, by what follows each in its text."""
+    chars, alone, cut = u["chars"], u["alone"], u["cut"].copy()
+    space, lower = np.append(u["space"][1:], 1), np.append(u["lower"][1:], 0)
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    space[last], lower[last] = 1, 0
+    cut[(cut == SENTENCE) & (lower == 1)] = WORD
+    return chars, np.where(space == 1, alone, u["split"]), alone, cut
 
 
 def _grid(total: int, most: int, overlap: int) -> tuple[int, float]:
@@ -227,23 +228,40 @@ def pieces(docs: DataFrame, limits: DataFrame, *, key: str = "doc_id", text: str
 
 
 def _pieces(src: DataFrame, lim: list[tuple[str, int, int]], path: str, kind: str) -> DataFrame:
+    most_ids = max(1, min([MOST_IDS, *[int(FILL * max(4, m - o - SPARE) / 6) for _, m, o in lim]]))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of one range: size and cuts at once."""
-        units = Units(encoder(path))
+        """Texts of one range: pieces at once."""
+        units = Units(encoder(path), most_ids)
         for b in batches:
             for part in slices(b, 1):
                 u, bounds = units.batch(part.column(1))
-                ids, got = part.column(0).to_pylist(), []
-                for r, doc in enumerate(ids):
-                    a, z = int(bounds[r]), int(bounds[r + 1])
-                    chars, mid, alone, cut = _context(u, a, z)
-                    total = int(mid.sum() + (alone[-1] - mid[-1] if z > a else 0))
+                chars, mid, alone, cut = _context(u, bounds)
+                sums, sizes = np.concatenate([[0], np.cumsum(mid)]), np.concatenate([[0], np.cumsum(chars)])
+                ends = np.maximum(bounds[1:] - 1, 0)
+                fix = np.where(np.diff(bounds) > 0, (alone - mid)[ends], 0) if len(mid) else np.zeros(len(bounds) - 1, np.int64)
+                totals = (np.diff(sums[bounds]) + fix).tolist()
+                lengths = np.diff(sizes[bounds]).tolist()
+                got = []
+                for r, (doc, total, length) in enumerate(zip(part.column(0).to_pylist(), totals, lengths)):
                     for name, most, overlap in lim:
+                        if total <= most:
+                            got.append((name, doc, 1, 0, length, total, 0, PARAGRAPH))
+                            continue
+                        a, z = int(bounds[r]), int(bounds[r + 1])
                         grid = _grid(total, most, overlap)
-                        got.append((doc, name, 0, PARAGRAPH, 0, 0, 0, 0, 0))
-                        got += [(doc, name, *c) for c in _cuts(grid, overlap, 0, 0, chars, mid, alone, cut, 0, z - a)]
-                        got.append((doc, name, grid[0], PARAGRAPH, total, int(chars.sum()), 0, total, int(chars.sum())))
-                yield _batch(got, key_type(part))
+                        cuts = _cuts(grid, overlap, 0, 0, chars[a:z], mid[a:z], alone[a:z], cut[a:z], 0, z - a)
+                        ids0 = from_ids = start = 0
+                        for k, (_, quality, ids, at, end, o_ids, o_at) in enumerate([*cuts, (0, PARAGRAPH, total, length, 0, total, length)]):
+                            got.append((name, doc, k + 1, start, at, ids + end - from_ids, ids0 - from_ids, quality))
+                            ids0, from_ids, start = ids, o_ids, o_at
+                yield _piece_batch(got, key_type(part))
+
+    def _piece_batch(got: list[tuple], t: pa.DataType) -> pa.RecordBatch:
+        types = [pa.string(), t, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        names = ["limit_name", "doc_id", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "quality"]
+        cols = list(zip(*got)) if got else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
 
     def key_type(b: pa.RecordBatch) -> pa.DataType:
         return b.schema.field(0).type
@@ -262,19 +280,20 @@ def _pieces(src: DataFrame, lim: list[tuple[str, int, int]], path: str, kind: st
 
     def windows(part: pa.RecordBatch, units: Units) -> Iterator[tuple]:
         u, bounds = units.batch(part.column(1))
+        all_chars, all_mid, all_alone, all_cut = _context(u, bounds)
         cols = [part.column(i).to_pylist() for i in range(part.num_columns) if i != 1]
         for r, rest in enumerate(zip(*cols)):
             no, n, n_chars = rest[1], rest[2], rest[3]
             a, z = int(bounds[r]), int(bounds[r + 1])
             own_from, own_to, start = _range_window(no, n, n_chars)
-            chars, mid, alone, cut = (x.copy() for x in _context(u, a, z))
+            chars, mid, alone, cut = all_chars[a:z], all_mid[a:z], all_alone[a:z], all_cut[a:z]
             begin = start + np.concatenate([[0], np.cumsum(chars)])
             x = int(np.searchsorted(begin[:-1], own_from, "left"))
             y = int(np.searchsorted(begin[:-1], own_to, "left")) if no + 1 < n else z - a
             yield rest, x, y, begin, chars, mid, alone, cut
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(encoder(path))
+        units = Units(encoder(path), most_ids)
         for b in batches:
             for part in slices(b, 1):
                 got = []
@@ -290,7 +309,7 @@ def _pieces(src: DataFrame, lim: list[tuple[str, int, int]], path: str, kind: st
     places = materialize(per_range.select("doc_id", "no", before.alias("before"), F.sum("size").over(w).alias("total")), "ranges")
 
     def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(encoder(path))
+        units = Units(encoder(path), most_ids)
         for b in batches:
             for part in slices(b, 1):
                 got = []
@@ -309,16 +328,19 @@ def _pieces(src: DataFrame, lim: list[tuple[str, int, int]], path: str, kind: st
     far = many.mapInArrow(offers, _CUT.format(kind))
     best = F.max_by(F.struct("quality", "ids", "chars", "fix", "over_ids", "over_chars"), F.struct("quality", "ids"))
     far = far.groupBy("doc_id", "limit_name", "place").agg(best.alias("c")).select("doc_id", "limit_name", "place", "c.*")
-    near = src.where(F.col("n_chars") <= RANGE).select("doc_id", "text").mapInArrow(whole, _CUT.format(kind))
-    cuts = materialize(near.union(far.select(*near.columns)), "cuts")
-
-    a = cuts.select("doc_id", "limit_name", (F.col("place") + 1).alias("place"), "ids", F.col("over_ids").alias("from_ids"), F.col("over_chars").alias("start_char"))
-    b = cuts.where("place > 0").select("doc_id", "limit_name", "place", F.col("ids").alias("to_ids"), "fix", F.col("chars").alias("end_char"), "quality")
-    boundary = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("quality"))
-    return a.join(b, ["doc_id", "limit_name", "place"]).select(
-        "limit_name", "doc_id", F.col("place").alias("piece_no"), "start_char", "end_char", (F.col("to_ids") + F.col("fix") - F.col("from_ids")).alias("n_tokens"),
-        (F.col("ids") - F.col("from_ids")).alias("overlap_tokens"), boundary.alias("boundary"),
+    cuts = materialize(far, "cuts")
+    # a piece lies between neighbouring cuts of its text; places near which no unit ends are passed over
+    w = Window.partitionBy("doc_id", "limit_name").orderBy("place")
+    nxt = F.lead(F.struct("ids", "fix", "chars", "quality")).over(w)
+    many_pieces = cuts.select("*", nxt.alias("n"), F.row_number().over(w).alias("piece_no")).where("n is not null").select(
+        "limit_name", "doc_id", "piece_no", F.col("over_chars").alias("start_char"), F.col("n.chars").alias("end_char"), (F.col("n.ids") + F.col("n.fix") - F.col("over_ids")).alias("n_tokens"),
+        (F.col("ids") - F.col("over_ids")).alias("overlap_tokens"), F.col("n.quality").alias("quality"),
     )
+    one = src.where(F.col("n_chars") <= RANGE).select("doc_id", "text").mapInArrow(
+        whole, f"limit_name string, doc_id {kind}, piece_no int, start_char bigint, end_char bigint, n_tokens bigint, overlap_tokens bigint, quality int"
+    )
+    boundary = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("quality"))
+    return one.union(many_pieces.select(*one.columns)).withColumn("boundary", boundary).drop("quality")
 
 
 def texts(found: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
