@@ -30,7 +30,7 @@ SHORT = {
 TRACKING = ("utm_", "ref", "src", "source", "gclid", "fbclid", "trk", "lang", "locale", "hl")
 _ID = re.compile(r"(?:^|[-_/])([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-z]{1,3}[-_]\d{2,}|\d{5,}|[0-9a-f]{12,40})$")
 _WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, BUCKETS = 5, 2, 16
+BANDS, ROWS, BUCKETS = 5, 2, 64
 #: A word is taken for a slip of one that is so many times as frequent.
 SLIP_RATIO = 20
 _KEYS = "kind tinyint, key bigint, proof string, words string, odd boolean, id bigint"
@@ -169,8 +169,11 @@ class History:
         self.spark, self.path = spark, path
 
     def append(self, k: DataFrame) -> None:
+        """Few files for a small batch, and as many tasks as the session shuffles with for a large one."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = F.pmod(F.shiftright("key", 8), F.lit(max(1, n // BUCKETS)))
         k = k.withColumn("bucket", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int"))
-        k.repartition(BUCKETS, "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+        k.repartition(n, F.col("bucket"), spread).write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def probe(self, c: DataFrame, k: DataFrame) -> DataFrame:
         """(id, accepted_id) of the rows of ``c``, whose keys are ``k``, that repeat a row with a smaller id."""
