@@ -1,9 +1,10 @@
 """New batches against everything accepted before, without working through the history again.
 
 What a posting is known by is kept in a table of keys, partitioned by a bucket of the key: its id on its source, the
-page its address leads to, and minwise band keys of the words of its title, within company and place. A batch reads
-the buckets its own keys fall into, and no posting of the history itself; equal keys are verified by what they stand
-for (the full id, address or words), then the batch's keys are appended.
+page its address leads to, and within company and place the words of its title, as a whole and less each one of them in
+turn: titles that a slip of the pen in one word tells apart have a key in common. A batch reads the buckets its own keys
+fall into, and no posting of the history itself; equal keys are verified by what they stand for (the full id, address or
+words), then the batch's keys are appended.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ SHORT = {
 TRACKING = ("utm_", "ref", "src", "source", "gclid", "fbclid", "trk", "lang", "locale", "hl")
 _ID = re.compile(r"(?:^|[-_/])([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-z]{1,3}[-_]\d{2,}|\d{5,}|[0-9a-f]{12,40})$")
 _WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, BUCKETS = 5, 2, 64
+BUCKETS = 64
 #: A word is taken for a slip of one that is so many times as frequent.
 SLIP_RATIO = 20
-_KEYS = "kind tinyint, key bigint, proof string, words string, odd boolean, id bigint"
+_KEYS = "kind tinyint, key bigint, proof string, words string, word string, id bigint"
 
 
 def posting_page(url: str | None) -> str | None:
@@ -99,28 +100,25 @@ def slips(counts: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame, places: DataFrame, known_words: DataFrame | None = None) -> DataFrame:
-    """(id, ext, page, company, place, place_words, words, odd): what a posting is compared by.
+    """(id, ext, page, company, place, place_words, words): what a posting is compared by.
 
     ``words`` are those of the title in alphabetical order, short forms written out, slips of the pen mended by the
-    far more frequent words of the rows and of ``known_words(word, n)``; ``odd`` says that a word is left which is
-    seen seldom. ``place`` are the listed places its location names, NULL if none; ``place_words`` the location's words.
+    far more frequent words of the rows and of ``known_words(word, n)``; one slip a title that counts cannot mend is
+    left to ``keys``. ``place`` are the listed places its location names, NULL if none; ``place_words`` the location's words.
     """
     plain_rows = materialize(read(rows), "plain")
     counts = plain_rows.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if known_words is not None:
         counts = counts.union(known_words.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
-    fix = counts.join(slips(counts), "word", "left").select("word", "right", (F.col("right").isNull() & (F.col("n") < SLIP_RATIO) & ~F.col("word").rlike(r"\d") & (F.length("word") >= 4)).alias("odd")).where("odd or right is not null")
-    each = plain_rows.select("id", F.explode("title_words").alias("word")).join(broadcast_if_small(materialize(fix, "fix"), 50_000), "word", "left")
-    titles = each.groupBy("id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("words"), F.coalesce(F.bool_or("odd"), F.lit(False)).alias("odd")
-    )
+    each = plain_rows.select("id", F.explode("title_words").alias("word")).join(broadcast_if_small(materialize(slips(counts), "fix"), 50_000), "word", "left")
+    titles = each.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("words"))
     said = plain_rows.where(not_blank(F.col("location"))).select(F.col("location").alias("value")).distinct()
     place = places_of(materialize(said, "values"), places).select(
         F.col("value").alias("location"), F.when(F.col("places")[0] != 0, F.array_join("places", ",")).alias("place"), F.col("words").alias("place_words")
     )
     out = plain_rows.select("id", "ext", "page", "company", "location").join(titles, "id", "left").join(place, "location", "left")
-    return out.select("id", "ext", "page", "company", "place", F.coalesce("place_words", F.lit("")).alias("place_words"), "words", F.coalesce("odd", F.lit(False)).alias("odd"))
+    return out.select("id", "ext", "page", "company", "place", F.coalesce("place_words", F.lit("")).alias("place_words"), "words")
 
 
 def _wheres() -> Column:
@@ -133,33 +131,34 @@ def _wheres() -> Column:
 def keys(c: DataFrame) -> DataFrame:
     """The key rows of ``canonical`` rows, one per distinct key and proof with the smallest id that has it.
 
-    Kind 0 is the id on the source, 1 the page, 2 a band of the minwise signature of the title's words, 3 the whole
-    signature's stand-in, the words themselves. Aggregated before the shuffle, so copies without end are one row.
+    Kind 0 is the id on the source, 1 the page, 2 the title's words less ``word``, 3 the words themselves. Kind 2 is made
+    for each word a slip may be in. Aggregated before the shuffle, so copies without end are one row.
     """
     none = F.lit(None).cast("string")
     simple = c.select("id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("ext").alias("proof")), F.struct(F.lit(1).alias("kind"), F.col("page").alias("proof")))).alias("x"))
     simple = simple.where("x.proof is not null").groupBy(F.col("x.kind").cast("tinyint").alias("kind"), F.col("x.proof").alias("proof")).agg(F.min("id").alias("id"))
-    simple = simple.select("kind", F.xxhash64("kind", "proof").alias("key"), "proof", none.alias("words"), F.lit(False).alias("odd"), "id")
+    simple = simple.select("kind", F.xxhash64("kind", "proof").alias("key"), "proof", none.alias("words"), none.alias("word"), "id")
     titled = titles(c)
-    sig = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, "proof", *[F.array_min(F.transform(F.split("words", " "), lambda w: F.xxhash64(w, b * ROWS + r))) for r in range(ROWS)]))
-    many = titled.select("proof", "words", "odd", "id", F.posexplode(F.concat(F.array(F.xxhash64(F.lit(-1), "proof", "words")), sig)).alias("at", "key"))
-    many = many.select(F.when(F.col("at") == 0, 3).otherwise(2).cast("tinyint").alias("kind"), "key", "proof", "words", "odd", "id")
-    return simple.union(many)
+    whole = titled.select(F.lit(3).cast("tinyint").alias("kind"), F.xxhash64(F.lit(-1), "proof", "words").alias("key"), "proof", "words", none.alias("word"), "id")
+    w = F.split("words", " ")
+    less = titled.select("proof", "words", "id", w.alias("w"), F.explode(F.filter(F.array_distinct(w), lambda x: (F.length(x) >= 3) & ~x.rlike(r"\d"))).alias("word"))
+    at = F.array_position("w", F.col("word")).cast("int")
+    rest = F.concat(F.slice("w", F.lit(1), at - 1), F.slice("w", at + 1, F.size("w")))
+    less = less.select(F.lit(2).cast("tinyint").alias("kind"), F.xxhash64(F.lit(-2), "proof", F.array_join(rest, " ")).alias("key"), "proof", "words", "word", "id")
+    return simple.union(whole).union(less)
 
 
 def titles(c: DataFrame) -> DataFrame:
-    """(proof, words, odd, id): one row per company, place and title that differ, with the smallest id."""
-    t = c.where(F.col("company").isNotNull() & F.col("words").isNotNull()).select("id", "company", "words", "odd", F.explode(_wheres()).alias("place"))
-    return t.groupBy(F.concat_ws(" @ ", "company", "place").alias("proof"), "words").agg(F.bool_or("odd").alias("odd"), F.min("id").alias("id"))
+    """(proof, words, id): one row per company, place and title that differ, with the smallest id."""
+    t = c.where(F.col("company").isNotNull() & F.col("words").isNotNull()).select("id", "company", "words", F.explode(_wheres()).alias("place"))
+    return t.groupBy(F.concat_ws(" @ ", "company", "place").alias("proof"), "words").agg(F.min("id").alias("id"))
 
 
-def _slip_between(a: str, b: str) -> Column:
-    """Titles that differ in one word, by a slip of the pen in it."""
-    x, y = F.split(a, " "), F.split(b, " ")
-    p, q = F.array_except(x, y), F.array_except(y, x)
-    u, v = F.get(p, F.lit(0)), F.get(q, F.lit(0))
+def _slip_between(a: str, u: str, b: str, v: str) -> Column:
+    """Titles ``a`` and ``b`` that are the same but for the words ``u`` and ``v``, by a slip of the pen."""
     close = (F.levenshtein(u, v) <= 1) | ((F.length(u) == F.length(v)) & (F.levenshtein(u, v) == 2) & (F.array_sort(F.split(u, "")) == F.array_sort(F.split(v, ""))))
-    return (F.size(x) == F.size(y)) & (F.size(p) == 1) & (F.size(q) == 1) & (F.length(u) >= 4) & ~F.concat(u, v).rlike(r"\d") & close
+    rest = F.array_sort(F.concat(F.split(a, " "), F.array(v))) == F.array_sort(F.concat(F.split(b, " "), F.array(u)))
+    return (F.col(u) != F.col(v)) & (F.greatest(F.length(u), F.length(v)) >= 4) & (F.abs(F.length(u) - F.length(v)) <= 1) & close & rest
 
 
 class History:
@@ -180,15 +179,14 @@ class History:
         used = [r[0] for r in k.select(F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # at most BUCKETS rows
         old = self.spark.read.schema(_KEYS + ", bucket int").parquet(self.path).where(F.col("bucket").isin(used)).drop("bucket")
         known = old.union(k.select(*[x.split()[0] for x in _KEYS.split(", ")]))
-        known = known.select("kind", "key", F.col("proof").alias("p"), F.col("words").alias("w"), F.col("odd").alias("o"), F.col("id").alias("i"))
+        known = known.select("kind", "key", F.col("proof").alias("p"), F.col("words").alias("w"), F.col("word").alias("v"), F.col("id").alias("i"))
         # equal keys: the smallest id of each
         same = known.where("kind <> 2").groupBy("kind", "key", "p", "w").agg(F.min("i").alias("i"))
         hit = k.where("kind <> 2").join(same, (k.kind == same.kind) & (k.key == same.key) & (k.proof == same.p) & k.words.eqNullSafe(same.w)).select(k.kind, k.proof, k.words, "i")
-        # bands are for titles with a word that nobody could mend, on either side
-        ours = k.where("kind = 2").select(F.col("key").alias("k2"), "proof", "words", "odd")
-        band = known.where("kind = 2").select("key", "p", "w", "o", "i")
-        on = (F.col("k2") == F.col("key")) & (F.col("proof") == F.col("p"))
-        near = ours.where("odd").join(band, on).union(ours.where("not odd").join(band.where("o"), on)).where((F.col("words") != F.col("w")) & _slip_between("words", "w"))
+        # titles that are the same but for one word
+        ours = k.where("kind = 2").select(F.col("key").alias("k2"), "proof", "words", "word")
+        less = known.where("kind = 2").select("key", "p", "w", "v", "i")
+        near = ours.join(less, (F.col("k2") == F.col("key")) & (F.col("proof") == F.col("p"))).where(_slip_between("words", "word", "w", "v"))
         near = near.select(F.lit(3).cast("tinyint").alias("kind"), "proof", "words", "i")
         least = materialize(hit.union(near).groupBy("kind", "proof", "words").agg(F.min("i").alias("least")), "least")
         # rows meet what they are known by; a key that many rows have lies on the side that may be split

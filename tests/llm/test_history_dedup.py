@@ -75,3 +75,28 @@ def test_a_slip_nobody_could_mend(spark):
 def test_posting_page(a, b, same):
     assert (H.posting_page(a) == H.posting_page(b)) is same
     assert H.posting_page(None) is H.posting_page("  ") is None and H.posting_page("http://[broken") is None
+
+
+def test_slips_are_found_however_often_they_are_repeated(spark):
+    right, slip = "Senior Interim Wrangler", "Senior Inteim Wrangler"
+    rows = [(i, 0, "Acme", right, "Remote", None, "s", None) for i in range(1, 101)] + [(200 + i, 1, "Acme", slip, "Remote", None, "s", None) for i in range(40)]
+    rows += [(300 + i, 0, f"Firm {i}", right, "Remote", None, "s", None) for i in range(2)]
+    rows += [(400 + i, 1, f"Firm {i}", "Senior Inteaim Wrangler", "Remote", None, "s", None) for i in range(2)]
+    rows += [(500, 0, "Acme", "Data Data Steward", "Remote", None, "s", None), (501, 1, "Acme", "Dat Data Steward", "Remote", None, "s", None)]
+    rows += [(502, 0, "Acme", "Data Steward Level 3", "Remote", None, "s", None), (503, 1, "Acme", "Data Steward Level 4", "Remote", None, "s", None)]
+    c = canonical(spark, rows)
+    h = history(spark)
+    h.append(H.keys(c.where("batch_no = 0")))
+    got = {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()}
+    assert got == {**{200 + i: 1 for i in range(40)}, 400: 300, 401: 301, 501: 500}
+
+
+def test_every_one_slip_meets(spark):
+    """No slip is lost by chance: titles of many words, each word misspelt in turn, in each way."""
+    words = "quarterly zanzibar quokka wrangling marble lantern".split()
+    ways = lambda w: [w[:2] + w[3:], w[:2] + "x" + w[2:], w[:2] + "x" + w[3:], w[:2] + w[3] + w[2] + w[4:]]
+    bad = [" ".join([*words[:i], x, *words[i + 1 :]]) for i, w in enumerate(words) for x in ways(w) if x != w]
+    c = canonical(spark, [(1, 0, "Acme", " ".join(words), "Remote", None, "s", None)] + [(10 + i, 1, "Acme", x, "Remote", None, "s", None) for i, x in enumerate(bad)])
+    h = history(spark)
+    h.append(H.keys(c.where("batch_no = 0")))
+    assert {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()} == {10 + i: 1 for i in range(len(bad))}
