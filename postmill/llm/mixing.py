@@ -16,6 +16,8 @@ from postmill.runtime import broadcast_if_small, materialize
 
 #: Hash buckets of a source; each is one group of the prefix sum.
 BUCKETS = 1024
+#: The total of a mix that is as large as its sources together, each taken once.
+AVAILABLE = "available"
 
 
 def sized(docs: DataFrame, *, key: str, source: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -34,12 +36,14 @@ def sized(docs: DataFrame, *, key: str, source: str, text: str, path: str = DEFA
     return d.select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("before"))
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
     """One row per mix and source: what it has, what it is to give, its slope.
 
     Without ``total_tokens`` a mix is as large as it can be with every source that is there at its target share and
     within its cap, so shares are met; with it, sources that reach their cap leave the rest to the others, in
-    proportion of their shares, until nothing moves. Sources that are not there give nothing.
+    proportion of their shares, until nothing moves. ``AVAILABLE`` gives each mix the ids of the sources it lists as its
+    total: small sources repeat to their cap and fall short, but never cut the others. Sources that are not there give
+    nothing.
     """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("n_docs"))
     t = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(
@@ -52,16 +56,18 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         fits = F.min(F.when(live, F.col("most") / F.col("share"))).over(mix)
         p = p.withColumn("demand", F.when(live, F.least(F.col("share") * fits, F.col("most").cast("double"))).otherwise(0.0))
     else:
-        p = p.withColumn("demand", F.lit(0.0)).withColumn("full", ~live)
-        for _ in range(32):  # each round fills at least one source of a mix or ends
-            left = F.lit(float(total_tokens)) - F.sum(F.when(F.col("full"), F.col("demand")).otherwise(0.0)).over(mix)
-            open_share = F.sum(F.when(~F.col("full"), F.col("share")).otherwise(0.0)).over(mix)
-            p = p.withColumn("want", F.when(F.col("full"), F.col("demand")).otherwise(left * F.try_divide(F.col("share"), open_share)))
-            p = p.withColumn("demand", F.least("want", F.col("most").cast("double"))).withColumn("full", F.col("full") | (F.col("want") >= F.col("most"))).drop("want")
-            p = materialize(p, "plan")
-            if p.groupBy("mix_name").agg(F.sum("demand").alias("d"), F.bool_and("full").alias("all")).where(f"not `all` and d < {float(total_tokens)} * (1 - 1e-9)").limit(1).count() == 0:
-                break
-        p = p.drop("full")
+        # a source is full from the size of mix on at which its share is all it may give; in that order, what a mix
+        # gives at that size is the most of those before it and the shares of the others
+        total = F.sum(F.when(live, F.col("available"))).over(mix).cast("double") if total_tokens == AVAILABLE else F.lit(float(total_tokens))
+        order = mix.orderBy("full_at", "source")
+        p = p.withColumn("full_at", F.when(live, F.col("most") / F.col("share"))).withColumn("total", total)
+        before = F.coalesce(F.sum(F.when(live, F.col("most"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        others = F.sum(F.when(live, F.col("share"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+        p = p.withColumn("full", live & (before + F.col("full_at") * others <= F.col("total") * (1 + 1e-12)))
+        left = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(mix), F.lit(0))
+        open_share = F.sum(F.when(live & ~F.col("full"), F.col("share"))).over(mix)
+        given = F.least(left * F.try_divide(F.col("share"), open_share), F.col("most").cast("double"))
+        p = p.withColumn("demand", F.when(F.col("full"), F.col("most").cast("double")).when(live, given).otherwise(0.0)).drop("full_at", "total", "full")
     # sources that may repeat come up towards the end, the others make room: weights add up at any time
     again = F.sum(F.when(F.col("cap") > 1, F.col("demand")).otherwise(0.0)).over(mix)
     once = F.sum(F.when(F.col("cap") <= 1, F.col("demand")).otherwise(0.0)).over(mix)

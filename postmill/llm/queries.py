@@ -103,8 +103,9 @@ def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Mixes as large as the sources they list, whatever the scarcest of them has."""
     sizes = materialize(mixing.sized(load(spark, sf, "documents"), key="doc_id", source="source", text="text"), "before")
-    planned = materialize(mixing.plan(sizes, load(spark, sf, "mix_targets")), "planned")
+    planned = materialize(mixing.plan(sizes, load(spark, sf, "mix_targets"), mixing.AVAILABLE), "planned")
     return mixing.mix(sizes, planned), planned
 
 

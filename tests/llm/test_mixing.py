@@ -77,3 +77,35 @@ def test_empty(spark):
     p = M.plan(s, targets(spark, [("m", "a", 1.0, 1)]))
     m = M.mix(s, p)
     assert m.count() == 0 and M.shares(m, p).first().actual_share == 0
+
+
+def test_a_scarce_source_does_not_cut_the_mix(spark):
+    """Filled by rounds, as in the statement; more sources than rounds that were once tried."""
+    have = {f"s{i:02}": 10 * (i + 1) ** 2 for i in range(40)} | {"big": 200_000}
+    share = {k: 0.5 / 40 for k in have} | {"big": 0.5}
+    cap = {k: 3 for k in have} | {"big": 1}
+    s = spark.createDataFrame([(i, k, n, 0) for i, (k, n) in enumerate(have.items())], "doc_id long, source string, n_tokens long, before long")
+    t = targets(spark, [("m", k, share[k], cap[k]) for k in have] + [("m", "absent", 0.3, 4), ("one", "s00", 0.9, 2), ("one", "big", 0.1, 1)])
+    p = {(r.mix_name, r.source): r.demand for r in M.plan(s, t, M.AVAILABLE).collect()}
+    total, full = sum(have.values()), set()
+    while True:
+        left, shares = total - sum(have[k] * cap[k] for k in full), sum(share[k] for k in have if k not in full)
+        more = {k for k in have if k not in full and left * share[k] / shares >= have[k] * cap[k]}
+        if not more:
+            break
+        full |= more
+    assert 0 < len(full) < len(have)
+    for k in have:
+        assert abs(p["m", k] - (have[k] * cap[k] if k in full else left * share[k] / shares)) < 1e-3
+    assert p["m", "absent"] == 0 and abs(p["one", "s00"] - 20) < 1e-6 and abs(p["one", "big"] - (200_010 - 20)) < 1e-3
+
+
+def test_registered_mixes_fall_short_only_where_capped(spark, sf):
+    from postmill.llm.queries import p9_shares
+
+    rows = p9_shares(spark, sf).collect()
+    for name in {r.mix_name for r in rows}:
+        here = [r for r in rows if r.mix_name == name and r.available_tokens]
+        assert sum(r.tokens for r in here) > 0.9 * sum(r.available_tokens for r in here)
+        assert all(r.most_repeats == r.max_repeats for r in here if r.state == "capped")
+    assert any(r.state == "capped" and r.actual_share < 0.9 * r.target_share for r in rows)
