@@ -43,9 +43,9 @@ def _node(c: Column) -> Column:
 
 
 def pages(rows: DataFrame, *, key: str, text: str, host: str, company: str, lang: str) -> DataFrame:
-    """(id, host, lang, nodes, n_lines, part_of, kinds, loose): the nodes of a page; lines first, then items of lines.
+    """(row, id, host, lang, nodes, n_lines, part_of, kinds, loose): the nodes of a page; lines first, then items of lines.
 
-    ``nodes`` are hashes, 0 for a line without one; ``part_of`` names the line of each item. ``kinds`` per line: 0
+    ``row`` is a number of the row's own, good once the table is written; ids may repeat. ``nodes`` are hashes, 0 for a line without one; ``part_of`` names the line of each item. ``kinds`` per line: 0
     blank, 1 markup alone, 2 a sentence, 3 other. ``loose`` has the text of lines of kind 3, for slots.
     """
     named = F.when(F.trim(F.coalesce(F.col(company), F.lit(""))) != "", F.replace(F.col(text), F.col(company), F.lit("{c}"))).otherwise(F.col(text))
@@ -73,7 +73,7 @@ def pages(rows: DataFrame, *, key: str, text: str, host: str, company: str, lang
         "raw",
     )
     return src.select(
-        "id", "host", "lang",
+        F.monotonically_increasing_id().alias("row"), "id", "host", "lang",
         F.concat(F.col("line_nodes"), F.col("parts.node")).alias("nodes"),
         F.size("line_nodes").alias("n_lines"),
         F.col("parts.line").alias("part_of"),
@@ -83,13 +83,18 @@ def pages(rows: DataFrame, *, key: str, text: str, host: str, company: str, lang
 
 
 def with_codes(p: DataFrame, codes: DataFrame) -> DataFrame:
-    """``p`` with ``codes`` aligned to ``nodes``, from the table ``codes(node, code)``; 0 where it has none."""
+    """``p`` with ``codes`` aligned to ``nodes``, from the table ``codes(node, code)``; 0 where it has none.
+
+    Beyond ``IN_MEMORY`` codes they are joined, and come together by ``row``; without it the rows are written and numbered.
+    """
     rest = [c for c in p.columns]
     some = codes.limit(IN_MEMORY + 1).toArrow() if codes.limit(IN_MEMORY + 1).count() <= IN_MEMORY else None
     if some is None:
-        one = p.select("id", F.posexplode("nodes").alias("at", "node")).join(codes, "node", "left")
-        got = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("code", F.lit(0)).cast("tinyint").alias("code")))).alias("_c"))
-        return p.join(got, "id").select(*rest, F.col("_c.code").alias("codes"))
+        if "row" not in rest:
+            p = materialize(p.withColumn("row", F.monotonically_increasing_id()), "rows")
+        one = p.select("row", F.posexplode("nodes").alias("at", "node")).join(codes, "node", "left")
+        got = one.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("code", F.lit(0)).cast("tinyint").alias("code")))).alias("_c"))
+        return p.join(got, "row", "left").select(*rest, F.coalesce("_c.code", F.array().cast("array<tinyint>")).alias("codes"))
     keys = some.column("node").to_numpy().astype(np.int64)
     order = np.argsort(keys)
     keys, vals = keys[order], some.column("code").to_numpy().astype(np.int8)[order]
@@ -117,7 +122,7 @@ def _judge(p: DataFrame, codes: DataFrame, *, least: int, share: float, score: f
     A node is template if ``share`` of its pages are such, and these are ``score`` standard deviations above what the
     rate of such pages would give: the rate of the language for nodes on three hosts or more, else that of the host.
     """
-    coded = with_codes(p.select("host", "lang", "nodes", "n_lines"), codes)
+    coded = with_codes(p.select("row", "host", "lang", "nodes", "n_lines"), codes)
     u = F.array_distinct(F.arrays_zip("nodes", "codes"))
     per_page = coded.select("host", "lang", u.alias("u")).select("host", "lang", "u", F.size(F.filter("u", lambda x: x.codes == LABEL)).alias("m"))
     # the page itself goes along as node 0
@@ -198,7 +203,7 @@ def page_lines(rows: DataFrame, *, key: str, text: str, host: str, company: str,
     codes = induce(p)
     heads = materialize(_heads(with_codes(p, codes)), "heads")
     final = materialize(codes.where(F.col("code") != 4).join(heads.withColumn("_h", F.lit(True)), "node", "left").select("node", F.when(F.col("_h"), HEAD).otherwise(F.col("code")).cast("tinyint").alias("code")), "final")
-    coded = with_codes(p.select("id", "nodes", "n_lines", "part_of", "kinds", "loose"), final)
+    coded = with_codes(p.select("row", "id", "nodes", "n_lines", "part_of", "kinds", "loose"), final).drop("row")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

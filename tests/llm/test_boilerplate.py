@@ -89,3 +89,13 @@ def test_codes_by_join_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(B, "IN_MEMORY", 1)
     b = {r.id: tuple(r.codes) for r in B.with_codes(p.select("id", "nodes"), codes).collect()}
     assert a == b and len(a) == 80
+
+
+def test_lines_by_join_are_the_same(spark, monkeypatch):
+    rows, _, _ = corpus(5)
+    rows = rows + rows[:5] + [(rows[0][0], *r[1:]) for r in rows[60:65]]  # equal rows, and other pages under one id
+    df = spark.createDataFrame(rows, SCHEMA)
+    lines = lambda: sorted(tuple(map(str, r)) for r in B.page_lines(df, key="id", text="description", host="host", company="company", lang="lang").collect())
+    a = lines()
+    monkeypatch.setattr(B, "IN_MEMORY", 1)
+    assert lines() == a and len(a) > len(set(a))
