@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import parse_qsl, urlsplit
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,10 +108,20 @@ def canonical(rows: DataFrame, places: DataFrame, known_words: DataFrame | None
     left to ``keys``. ``place`` are the listed places its location names, NULL if none; ``place_words`` the location's words.
     """
     plain_rows = materialize(read(rows), "plain")
-    counts = plain_rows.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    if known_words is not None:
-        counts = counts.union(known_words.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "counts")
+    counts = materialize(_counts(plain_rows), "counts")
+    return _mended(plain_rows, counts if known_words is None else _together(counts.union(known_words.select("word", "n"))), places)
+
+
+def _counts(plain_rows: DataFrame) -> DataFrame:
+    return plain_rows.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _together(counts: DataFrame) -> DataFrame:
+    return materialize(counts.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
+
+def _mended(plain_rows: DataFrame, counts: DataFrame, places: DataFrame) -> DataFrame:
+    """``canonical`` of rows in their plain forms, by ``counts(word, n)``."""
     each = plain_rows.select("id", F.explode("title_words").alias("word")).join(broadcast_if_small(materialize(slips(counts), "fix"), 50_000), "word", "left")
     titles = each.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("words"))
     said = plain_rows.where(not_blank(F.col("location"))).select(F.col("location").alias("value")).distinct()
@@ -162,11 +173,28 @@ def _slip_between(a: str, u: str, b: str, v: str) -> Column:
 
 
 class History:
-    """The kept keys, in a folder of the shared file system."""
+    """The kept keys, in a folder of the shared file system, and beside it the counts of the words of titles."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def words(self) -> DataFrame | None:
+        """(word, n) as each batch added them; None before the first."""
+        try:
+            return self.spark.read.schema("word string, n bigint").parquet(f"{self.path}-words")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def canonical(self, rows: DataFrame, places: DataFrame) -> DataFrame:
+        """``canonical`` of a batch alone, by the counts of its words and of all before it, which are then kept too."""
+        plain_rows = materialize(read(rows), "plain")
+        own, known = materialize(_counts(plain_rows), "counts"), self.words()
+        out = materialize(_mended(plain_rows, own if known is None else _together(own.union(known)), places), "canonical")
+        own.coalesce(1).write.mode("append").parquet(f"{self.path}-words")
+        return out
+
     def append(self, k: DataFrame) -> None:
         """Few files for a small batch, and as many tasks as the session shuffles with for a large one."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

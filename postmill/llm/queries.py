@@ -77,16 +77,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p1_batches")
 def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch after batch against all before it: rows and repeats of each."""
-    c = _canonical_jobs(spark, sf)
+    """Batch after batch against all before it: rows and repeats of each. No batch sees a later one, nor rows of earlier ones."""
+    jobs, places = load(spark, sf, "jobs").select(*_KNOWN), load(spark, sf, "places")
     kept = history_dedup.History(spark, f"{shared_dir(spark)}/postmill/history-{uuid.uuid4().hex}")
-    kept.append(history_dedup.keys(c.where("batch_no = 0")))
-    parts = [r[0] for r in c.select("batch_no").where("batch_no >= 1").distinct().orderBy("batch_no").collect()]  # a handful of batch numbers
+    kept.append(history_dedup.keys(kept.canonical(jobs.where("batch_no = 0"), places)))
+    sizes = materialize(jobs.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows")).where("batch_no >= 1"), "sizes")
+    parts = [r[0] for r in sizes.select("batch_no").orderBy("batch_no").collect()]  # a handful of batch numbers
     out = None
     for b in parts:
-        found = kept.take(c.where(F.col("batch_no") == b)).agg(F.count(F.lit(1)).alias("repeats")).withColumn("batch_no", F.lit(b))
+        c = kept.canonical(jobs.where(F.col("batch_no") == b), places)
+        found = kept.take(c).agg(F.count(F.lit(1)).alias("repeats")).withColumn("batch_no", F.lit(b))
         out = found if out is None else out.union(found)
-    sizes = c.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows")).where("batch_no >= 1")
     return sizes if out is None else sizes.join(out, "batch_no")
 
 

@@ -100,3 +100,17 @@ def test_every_one_slip_meets(spark):
     h = history(spark)
     h.append(H.keys(c.where("batch_no = 0")))
     assert {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()} == {10 + i: 1 for i in range(len(bad))}
+
+
+def test_batches_alone_are_mended_by_the_words_before_them(spark):
+    places, df = spark.createDataFrame(PLACES, SCHEMA), spark.createDataFrame(FILL + ROWS, COLS)
+    h, got = history(spark), {}
+    h.append(H.keys(h.canonical(df.where("batch_no = 0"), places)))
+    for b in (1, 2, 3):
+        c = H.History(spark, h.path).canonical(df.where(f"batch_no = {b}"), places)
+        if b == 1:
+            assert "engineer" in c.where("id = 3").first().words.split()
+        got |= {r.id: r.accepted_id for r in h.take(c).collect()}
+    assert got == WANT
+    words = {r.word: r.n for r in h.words().groupBy("word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert words["enginer"] == 1 and words["engineer"] == 25 + 6
