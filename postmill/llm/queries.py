@@ -98,9 +98,9 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p10_texts")
 def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The pieces of one limit with their texts."""
+    """The pieces of all limits with their texts."""
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    return splitting.texts(splitting.pieces(docs, load(spark, sf, "split_limits").where("limit_name = 'usual'")), docs)
+    return splitting.texts(splitting.pieces(docs, load(spark, sf, "split_limits")), docs)
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,8 @@ RANGE, HALO = 32_768, 8_192
 MOST_IDS = 24
 #: Share of the room between overlap and limit that pieces aim at; cuts move by a third of that.
 FILL = 0.75
+#: Limits that are read by the driver; more are refused.
+MOST_LIMITS = 1000
 #: Ids kept free for units that are cut inside a word.
 SPARE = 8
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 4, 3, 2, 1, 0
@@ -211,11 +213,13 @@ def pieces(docs: DataFrame, limits: DataFrame, *, key: str = "doc_id", text: str
     (``folder``/<tokenizer>.tiktoken) as it stands alone; it begins at most ``overlap_tokens`` ids before the end of
     the piece before it, at the beginning of a word. A text within the limit is one piece; empty and NULL texts have
     none. Texts without any boundary are cut between characters; there ``n_tokens`` is the sum over the parts, a few ids
-    off what the piece has when encoded alone, and ``SPARE`` ids are kept free for that. ``key`` must be unique. ``limits`` is a handful of
-    rows.
+    off what the piece has when encoded alone, and ``SPARE`` ids are kept free for that. ``key`` must be unique. ``limits`` has at most
+    ``MOST_LIMITS`` rows; more are refused.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = [r.asDict() for r in limits.limit(1000).collect()]
+    rows = [r.asDict() for r in limits.limit(MOST_LIMITS + 1).collect()]
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
     src = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.length(text).alias("n_chars"))
     out = None
     for name in sorted({r["tokenizer"] for r in rows}):

@@ -76,3 +76,16 @@ def test_empty(spark):
     limits = spark.createDataFrame(LIMITS, "limit_name string, tokenizer string, max_tokens int, overlap_tokens int")
     assert S.pieces(docs, limits).count() == 0
     assert S.pieces(spark.createDataFrame([(1, "x")], "doc_id long, text string"), limits.limit(0)).count() == 0
+
+
+def test_more_limits_than_are_read_are_refused(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    limits = spark.range(1001).selectExpr("concat('l', id) AS limit_name", "'t' AS tokenizer", "100 AS max_tokens", "0 AS overlap_tokens")
+    with pytest.raises(ValueError):
+        S.pieces(docs, limits)
+
+
+def test_texts_are_made_for_all_limits(spark, sf):
+    from postmill.llm import queries as Q
+
+    assert {r[0] for r in Q.p10_texts(spark, sf).select("limit_name").distinct().collect()} == {r[0] for r in Q.load(spark, sf, "split_limits").select("limit_name").collect()}
