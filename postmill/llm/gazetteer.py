@@ -1,10 +1,11 @@
 """Freely typed values mapped to the entries of a reference list.
 
-Values are read once per distinct text. Names that stand in them letter for letter (accents, case and dress aside) are
-found by lookup; what is left goes through a set-similarity join against the names: bigrams ordered by rarity over
-both sides, only the rare prefix of each side joined, length and position filters, Jaccard verified exactly, the best
-kept, and a last check that a single slip of the pen lies between. Names that entries share are told apart by the
-region or country beside them.
+Every value, read once per distinct text, is cut into its windows (runs of words that may be a name), and all windows
+meet all phrases of the list in one set-similarity join: bigrams ordered by their rarity in the list, only the rare
+prefix of each side joined, length and position filters, Jaccard verified exactly, the best phrase of a window kept. A
+name letter for letter is the case of similarity 1; below that a last check asks that a single slip of the pen lies
+between. Names that entries share are told apart by the region or country beside them, which are phrases of the list
+too. The list is a table like any other; nothing of it is collected.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.runtime import materialize
+from postmill.runtime import broadcast_if_small, materialize
 
-THRESHOLD = 0.4
-#: Entries of the list that are read into the workers; a list beyond that is refused.
-MOST_ENTRIES = 200_000
+#: Bigrams that one slip of the pen may cost a text: two neighbours that change places cost three.
+LOST = 3
+#: Texts of fewer bigrams (a letter less) are equal or not similar: codes are no words.
+LEAST_GRAMS = 6
 #: Usual short forms of words in names. Fixed values.
 SHORT = {"st": "saint", "ste": "sainte", "mt": "mount", "ft": "fort", "n": "north", "s": "south", "e": "east", "w": "west", "pt": "port"}
 _WORD = re.compile(r"[^\W_]+")
@@ -59,58 +60,37 @@ def words(text: str) -> tuple[list[str], list[bool]]:
     return out, cut
 
 
-class Gazetteer:
-    """The list as lookup tables; small, it goes to every worker."""
-
-    def __init__(self, rows: list):
-        self.names: dict[str, list[int]] = defaultdict(list)
-        self.entry: dict[int, tuple] = {}
-        self.areas: dict[str, set] = defaultdict(set)  # phrase -> ('r', region) or ('c', country)
-        heads, tails = defaultdict(set), defaultdict(set)
-        for place_id, city, region, region_code, country, country_code, other in rows:
-            self.entry[place_id] = (plain(region or ""), plain(country or ""))
-            for name in (city, other):
-                w = words(plain(name or ""))[0]
-                if not w:
-                    continue
-                key = " ".join(w)
-                if place_id not in self.names[key]:
-                    self.names[key].append(place_id)
-                if len(w) > 1:
-                    heads[w[0]].add(key)
-                    tails[w[-1]].add(key)
-            for kind, phrases, value in (("r", (region, region_code), region), ("c", (country, country_code), country)):
-                for x in phrases:
-                    if x:
-                        self.areas[" ".join(words(plain(x))[0])].add((kind, plain(value)))
-        self.heads = {w for w, k in heads.items() if len(k) > 1}
-        self.tails = {w for w, k in tails.items() if len(k) > 1}
-        self.longest = max((k.count(" ") + 1 for k in self.names), default=0)
-        self.longest_area = max((k.count(" ") + 1 for k in self.areas), default=0)
-        self.vocabulary = {w for k in self.names for w in k.split()}
-        # codes are no words; only names of five letters or more can be misspelt
-        self.fuzzy = [k for k in self.names if len(k) >= 5]
-        self.widest = max((len(k) for k in self.names), default=0) + 1  # a slip adds one letter at most
-        self.area_words = {x for k in self.areas for x in k.split()}
-
-    def windows(self, w: list[str], cut: list[bool]) -> list[str]:
-        """Runs of words with exactly one that no name and no area has: what may be a misspelt name."""
+class Reading:
+    """What the phrases of the list say about the windows of one value."""
+
+    def __init__(self, matches: list[dict]):
+        self.names: dict[str, list[tuple]] = {}
+        self.slips: dict[str, list[tuple]] = {}
+        self.areas: dict[str, set] = {}
+        self.heads, self.tails, self.vocabulary, self.area_words = set(), set(), set(), set()
+        for m in matches:
+            key = m["window"]
+            entries = [(e["place_id"], e["region"], e["country"]) for e in m["names"]]
+            if not m["exact"]:
+                self.slips.setdefault(key, []).extend(entries)
+                continue
+            if entries:
+                self.names[key] = entries
+            if m["areas"]:
+                self.areas[key] = {(x["kind"], x["said"]) for x in m["areas"]}
+            for flag, at in (("head", self.heads), ("tail", self.tails), ("word", self.vocabulary), ("area_word", self.area_words)):
+                if m[flag]:
+                    at.add(key)
+
+    def misspelt(self, w: list[str]) -> bool:
+        """Whether exactly one of the words is in no name and no area: a slip of the pen is not another town."""
         strange = [x not in self.vocabulary and x not in self.area_words and len(x) > 1 and not x.isdigit() for x in w]
-        out = []
-        for i in range(len(w)):
-            for j in range(i + 1, min(len(w), i + self.longest) + 1):
-                if j - 1 > i and cut[j - 1]:
-                    break
-                if sum(strange[i:j]) != 1:
-                    continue
-                if all(s or x in self.vocabulary for x, s in zip(w[i:j], strange[i:j])) and 4 <= sum(map(len, w[i:j])) < self.widest + 1:
-                    out.append(" ".join(w[i:j]))
-        return out
-
-    def resolve(self, w: list[str], cut: list[bool], repaired: dict[str, list[str]]) -> list[int]:
-        """Place ids that the words name; empty if none."""
+        return sum(strange) == 1 and all(s or x in self.vocabulary for x, s in zip(w, strange)) and sum(map(len, w)) >= 4
+
+    def resolve(self, w: list[str], cut: list[bool], longest: int) -> list[int]:
+        """Place ids that the words name; empty if none. The longest names first, names to the letter before slips."""
         n = len(w)
-        spans: list[tuple[int, int, list[str]]] = []
+        spans: list[tuple[int, int, list[tuple]]] = []
         used = [False] * n
 
         def free(i: int, j: int) -> bool:
@@ -122,25 +102,22 @@ class Gazetteer:
             after = j < n and not cut[j] and w[j] in self.tails and not used[j]
             return not before and not after
 
-        for length in range(self.longest, 0, -1):
-            for i in range(n - length + 1):
-                key = " ".join(w[i : i + length])
-                if free(i, i + length) and key in self.names and alone(i, i + length):
-                    spans.append((i, i + length, [key]))
-                    used[i : i + length] = [True] * length
-        for length in range(self.longest, 0, -1):
-            for i in range(n - length + 1):
-                got = repaired.get(" ".join(w[i : i + length]))
-                if got and free(i, i + length) and alone(i, i + length):
-                    spans.append((i, i + length, got))
-                    used[i : i + length] = [True] * length
+        for known in (self.names, self.slips):
+            if not known:
+                continue
+            for length in range(longest, 0, -1):
+                for i in range(n - length + 1):
+                    got = known.get(" ".join(w[i : i + length]))
+                    if got and free(i, i + length) and alone(i, i + length) and (known is self.names or self.misspelt(w[i : i + length])):
+                        spans.append((i, i + length, got))
+                        used[i : i + length] = [True] * length
         if not spans:
             return []
-        spans.sort()
+        spans.sort(key=lambda x: x[:2])
         areas: list[tuple[int, set]] = []
         i = 0
-        while i < n:
-            for length in range(min(self.longest_area, n - i), 0, -1):
+        while i < n and self.areas:
+            for length in range(min(longest, n - i), 0, -1):
                 key = " ".join(w[i : i + length])
                 if key in self.areas and not any(used[i : i + length]):
                     areas.append((i, self.areas[key]))
@@ -148,25 +125,25 @@ class Gazetteer:
                     break
             i += 1
         found: list[int] = []
-        for k, (a, b, keys) in enumerate(spans):
-            ids = sorted({p for key in keys for p in self.names[key]})
+        for k, (a, b, entries) in enumerate(spans):
+            ids = {e[0]: e for e in entries}
+            kept = sorted(ids)
             if len(ids) > 1:
                 prev_end = spans[k - 1][1] if k else 0
                 next_start = spans[k + 1][0] if k + 1 < len(spans) else n
                 after = [x for at, x in areas if b <= at < next_start]
                 before = [x for at, x in areas if prev_end <= at < a]
-                ids = self._tell_apart(ids, after) or self._tell_apart(ids, before)
-            for p in ids:
-                if p not in found:
-                    found.append(p)
+                kept = _tell_apart(ids, after) or _tell_apart(ids, before)
+            found += [p for p in kept if p not in found]
         return found
 
-    def _tell_apart(self, ids: list[int], near: list[set]) -> list[int]:
-        said = set().union(*near) if near else set()
-        score = {p: 2 * (("r", self.entry[p][0]) in said) + (("c", self.entry[p][1]) in said) for p in ids}
-        best = max(score.values())
-        top = [p for p in ids if score[p] == best]
-        return top if best and len(top) == 1 else []
+
+def _tell_apart(ids: dict[int, tuple], near: list[set]) -> list[int]:
+    said = set().union(*near) if near else set()
+    score = {p: 2 * (("r", e[1]) in said) + (("c", e[2]) in said) for p, e in ids.items()}
+    best = max(score.values())
+    top = [p for p in score if score[p] == best]
+    return top if best and len(top) == 1 else []
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -191,85 +168,140 @@ def bigrams(c):
     return F.transform(raw, lambda x, i: F.concat(x, F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(left, right, similarity): pairs of ``left(text)`` and ``right(text)``, both distinct, whose bigram sets have at
-    least that Jaccard similarity; by prefix filtering. A left text has as many rows as it has partners."""
-    # a text has one bigram more than letters; one that is too long for any partner is left out before it is taken apart
-    most_l, most_r = (d.agg(F.max(F.length("text"))).first()[0] or 0 for d in (left, right))
-    left, right = left.where((F.length("text") + 1) * threshold <= most_r + 1 + 1e-9), right.where((F.length("text") + 1) * threshold <= most_l + 1 + 1e-9)
-    both = left.select(F.lit(0).alias("side"), "text").union(right.select(F.lit(1).alias("side"), "text")).where(F.length("text") > 0)
-    toks = both.select("side", "text", bigrams(F.col("text")).alias("g"))
-    toks = materialize(toks, "grams")
-    # rarity over both sides: bigrams of letters, a few thousand rows whatever the data
-    rank = toks.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ordered = (
-        toks.select("side", "text", F.explode("g").alias("t"))
-        .join(rank, "t")
-        .groupBy("side", "text")
-        .agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
-        .select("side", "text", F.col("o.t").alias("o"), F.size("o").alias("n"))
-    )
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    pre = materialize(ordered.select("side", "text", "o", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")), "prefix")
-    a = pre.where("side = 0").select(F.col("text").alias("left"), F.col("o").alias("lo"), F.col("n").alias("ln"), F.col("at").alias("la"), "t")
-    b = pre.where("side = 1").select(F.col("text").alias("right"), F.col("o").alias("ro"), F.col("n").alias("rn"), F.col("at").alias("ra"), "t")
-    need = F.ceil((F.col("ln") + F.col("rn")) * (threshold / (1 + threshold)) - 1e-9)
-    length = (F.col("ln") >= threshold * F.col("rn") - 1e-9) & (F.col("rn") >= threshold * F.col("ln") - 1e-9)
+def _bound(m: Column) -> Column:
+    """Least Jaccard similarity of bigram sets the larger of which has ``m``: what one slip of the pen leaves."""
+    return F.when(m < LEAST_GRAMS, F.lit(1.0)).otherwise((m - LOST) / (m + LOST))
+
+
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right, similarity): pairs of ``left(text)`` and ``right(text)``, both distinct, whose numbers of bigrams
+    differ by one at most and whose Jaccard similarity is at least (m - 3) / (m + 3), m being the larger number; below
+    ``LEAST_GRAMS`` they are equal. Exact, by prefix filtering: such pairs have all but three bigrams in common, so one of
+    the four rarest bigrams of each. Rarity is counted over ``right``; bigrams it has not come first, so a text that is like
+    nothing there joins nothing.
+    """
+    grams = lambda d: d.where(F.length("text") > 0).select("text", bigrams(F.col("text")).alias("g"))
+    most = right.agg(F.max(F.length("text"))).first()[0] or 0
+    right, left = materialize(grams(right), "grams"), grams(left.where(F.length("text") <= most + 1))
+    rank = materialize(right.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")), "rank")
+
+    def prefixed(d: DataFrame) -> DataFrame:
+        each = d.select("text", F.explode("g").alias("t")).join(broadcast_if_small(rank, 100_000), "t", "left")
+        o = each.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"))
+        o = o.select("text", F.col("o.t").alias("o"), F.col("o.f").alias("f"), F.size("o").alias("n"))
+        keep = F.when(F.col("n") < LEAST_GRAMS - 1, 1).otherwise(LOST + 1)
+        return o.select("text", "o", "n", "f", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).where(F.get("f", F.col("at")) > 0).drop("f")
+
+    a = prefixed(left).select(F.col("text").alias("left"), F.col("o").alias("lo"), F.col("n").alias("ln"), F.col("at").alias("la"), "t")
+    b = materialize(prefixed(right).select(F.col("text").alias("right"), F.col("o").alias("ro"), F.col("n").alias("rn"), F.col("at").alias("ra"), "t"), "prefix")
+    larger = F.greatest("ln", "rn")
+    need = F.when(larger < LEAST_GRAMS, larger).otherwise(larger - LOST)
+    length = F.abs(F.col("ln") - F.col("rn")) <= 1
     # before this token at most min(la, ra) are shared, after it at most the shorter rest
-    place = F.least("la", "ra") + 1 + F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra")) - 1 >= need
+    place = F.least("la", "ra") + F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra")) >= need
     first = F.size(F.array_intersect(F.slice("lo", F.lit(1), F.col("la")), F.slice("ro", F.lit(1), F.col("ra")))) == 0  # each pair at its first common token
     shared = F.size(F.array_intersect("lo", "ro"))
     return (
-        a.join(b, "t").where(length & place & first)
-        .select("left", "right", (shared / (F.col("ln") + F.col("rn") - shared)).alias("similarity"))
-        .where(F.col("similarity") >= threshold - 1e-12)
+        a.join(broadcast_if_small(b, 20_000), "t").where(length & place & first)
+        .select("left", "right", "ln", "rn", shared.alias("s"))
+        .select("left", "right", (F.col("s") / (F.col("ln") + F.col("rn") - F.col("s"))).alias("similarity"), _bound(F.greatest("ln", "rn")).alias("bound"))
+        .where("similarity >= bound - 1e-12").drop("bound")
     )
 
 
-def _read_list(entries: DataFrame) -> Gazetteer:
-    rows = entries.select("place_id", "city", "region_name", "region_code", "country", "country_code", "other_name").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries; partition the list")
-    return Gazetteer([tuple(r) for r in rows])
+def phrases(entries: DataFrame) -> DataFrame:
+    """(text, names, areas, head, tail, word, area_word): what each phrase of the list may mean.
+
+    ``names`` are the entries it is a name of, ``areas`` the regions and countries; ``head`` and ``tail`` say that several
+    names of more words begin or end with it, ``word`` and ``area_word`` that some name or area has it among its words.
+    """
+    names = ["text", "kind", "whole", "place_id", "region", "country"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for place_id, city, region, region_code, country, country_code, other in zip(*(c.to_pylist() for c in b.columns)):
+                r, c = plain(region or ""), plain(country or "")
+                for name in (city, other):
+                    w = words(plain(name or ""))[0]
+                    if w:
+                        key = " ".join(w)
+                        out.append((key, "n", key, place_id, r, c))
+                        out += [(x, "v", key, None, None, None) for x in set(w)]
+                        if len(w) > 1:
+                            out += [(w[0], "h", key, None, None, None), (w[-1], "t", key, None, None, None)]
+                for kind, value, said in (("r", region, r), ("r", region_code, r), ("c", country, c), ("c", country_code, c)):
+                    w = words(plain(value or ""))[0]
+                    if w:
+                        out.append((" ".join(w), kind, said, None, None, None))
+                        out += [(x, "a", said, None, None, None) for x in set(w)]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 3 else pa.string()) for i, x in enumerate(cols)], names)
+
+    src = entries.select(F.col("place_id").cast("int").alias("place_id"), "city", "region_name", "region_code", "country", "country_code", "other_name")
+    each = src.mapInArrow(run, "text string, kind string, whole string, place_id int, region string, country string").distinct()
+    is_ = lambda k: F.col("kind") == k
+    return each.groupBy("text").agg(
+        F.collect_set(F.when(is_("n"), F.struct("place_id", "region", "country"))).alias("names"),
+        F.collect_set(F.when(F.col("kind").isin("r", "c"), F.struct("kind", F.col("whole").alias("said")))).alias("areas"),
+        (F.count(F.when(is_("h"), 1)) > 1).alias("head"), (F.count(F.when(is_("t"), 1)) > 1).alias("tail"),
+        F.max(is_("v")).alias("word"), F.max(is_("a")).alias("area_word"),
+    )
 
 
 def places_of(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, places, words): for each row of ``values(value)``, distinct and not blank, the listed places it names,
     [0] if none can be told, and its words in alphabetical order."""
-    spark = values.sparkSession
-    g = _read_list(entries)
+    listed = materialize(phrases(entries), "phrases")
+    size = listed.select(F.max(F.size(F.split("text", " "))).alias("w"), F.max(F.length("text")).alias("n")).first()
+    longest, widest = size.w or 0, (size.n or 0) + 1  # a slip adds one letter at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column(0)
-            out = [sorted(set(g.windows(*words(plain(x))))) for x in v.to_pylist()]
-            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.string()))], ["value", "windows"])
+            v, out, said = b.column(0), [], []
+            for x in v.to_pylist():
+                w, cut = words(plain(x))
+                got = set()
+                for i in range(len(w)):
+                    text = ""
+                    for j in range(i, min(len(w), i + longest)):
+                        if j > i and cut[j]:
+                            break
+                        text = f"{text} {w[j]}" if text else w[j]
+                        if len(text) > widest:
+                            break
+                        got.add(text)
+                out.append(list(got))
+                said.append(" ".join(sorted(w)))
+            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.string())), pa.array(said, pa.string())], ["value", "windows", "words"])
 
-    seen = materialize(values.select("value").mapInArrow(find, "value string, windows array<string>"), "windows")
-    each = seen.select("value", F.explode("windows").alias("window"))
-    names = spark.createDataFrame([(x,) for x in g.fuzzy], "text string")
-    pairs = similar(each.select(F.col("window").alias("text")).distinct(), names)
+    seen = values.select("value").mapInArrow(find, "value string, windows array<string>, words string")
+    seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "windows")
+    each = seen.select("row", F.explode("windows").alias("window"))
+    pairs = similar(each.select(F.col("window").alias("text")).distinct(), listed.select("text"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [one_slip(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            ok = [x == y or (min(len(x), len(y)) > 3 and len(y) >= 5 and one_slip(x, y)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    good = pairs.mapInArrow(check, "left string, right string, similarity double")
-    best = good.groupBy("left").agg(F.max("similarity").alias("most"), F.collect_set(F.struct("similarity", "right")).alias("all"))
-    best = best.select(F.col("left").alias("window"), F.transform(F.filter("all", lambda x: x.similarity >= F.col("most") - 1e-9), lambda x: x.right).alias("names"))
-    fixes = each.join(best, "window").groupBy("value").agg(F.collect_list(F.struct("window", "names")).alias("fixes"))
+    good = materialize(pairs.mapInArrow(check, "left string, right string, similarity double"), "pairs")
+    best = good.groupBy(F.col("left").alias("left")).agg(F.max("similarity").alias("most"))
+    kept = good.join(best, "left").where("similarity >= most - 1e-9").select(F.col("left").alias("window"), F.col("right").alias("text"), (F.col("left") == F.col("right")).alias("exact"))
+    meant = kept.join(listed, "text").where("exact or size(names) > 0").drop("text")
+    got = each.join(broadcast_if_small(materialize(meant, "meant"), 20_000), "window")
+    got = got.groupBy("row").agg(F.collect_list(F.struct("window", "exact", "names", "areas", "head", "tail", "word", "area_word")).alias("matches"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, out, said = b.column(0), [], []
-            for x, f in zip(v.to_pylist(), b.column(1).to_pylist()):
-                w, cut = words(plain(x))
-                out.append(sorted(g.resolve(w, cut, {d["window"]: d["names"] for d in f or []})) or [0])
-                said.append(" ".join(sorted(w)))
-            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.int32())), pa.array(said, pa.string())], ["value", "places", "words"])
+            v, out = b.column(0), []
+            for x, m in zip(v.to_pylist(), b.column(1).to_pylist()):
+                found = Reading(m).resolve(*words(plain(x)), longest) if m else []
+                out.append(sorted(found) or [0])
+            yield pa.RecordBatch.from_arrays([v, pa.array(out, pa.list_(pa.int32())), b.column(2)], ["value", "places", "words"])
 
-    return seen.select("value").join(fixes, "value", "left").select("value", "fixes").mapInArrow(settle, "value string, places array<int>, words string")
+    whole = seen.select("row", "value", "words").join(got, "row", "left").select("value", "matches", "words")
+    return whole.mapInArrow(settle, "value string, places array<int>, words string")
 
 
 def not_blank(c: Column) -> Column:
@@ -279,7 +311,7 @@ def not_blank(c: Column) -> Column:
 def map_values(rows: DataFrame, entries: DataFrame, *, key: str, value: str) -> DataFrame:
     """(key, place_id): one row per listed place that a non-blank value names; place_id 0 if it names none that can be
     told. NULL and blank values have no rows. Several places give several rows, each place once. Repeated rows are
-    mapped each. The reference list is bounded by ``MOST_ENTRIES``; values are not.
+    mapped each. Neither the list nor the values are bounded; an empty list leaves every value unmatched.
     """
     said = rows.where(not_blank(F.col(value))).select(F.col(key), F.col(value).alias("value"))
     mapped = places_of(materialize(said.select("value").distinct(), "values"), entries)

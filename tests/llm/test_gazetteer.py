@@ -46,15 +46,43 @@ def grams(t):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.4, 0.8])
-def test_similarity_join_is_exact(spark, threshold):
+def near(a, b):
+    m = max(len(grams(a)), len(grams(b)))
+    bound = (m - 3) / (m + 3) if m >= 6 else 1.0
+    return abs(len(grams(a)) - len(grams(b))) <= 1 and len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= bound - 1e-12
+
+
+def test_similarity_join_is_exact(spark):
     rng = random.Random(1)
-    words = list({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(150)})
-    left, right = words[:90], words[60:]
-    want = {(a, b) for a, b in itertools.product(left, right) if len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= threshold - 1e-12}
+    words = list({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+    words += [w[:3] + w[4] + w[3] + w[5:] for w in words if len(w) > 5]
+    words = list(dict.fromkeys(words))
+    left, right = words[:320], words[60:]
+    want = {(a, b) for a, b in itertools.product(left, right) if near(a, b)}
     df = lambda x: spark.createDataFrame([(w,) for w in x], "text string")
-    got = [(r.left, r.right) for r in G.similar(df(left), df(right), threshold).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    got = [(r.left, r.right) for r in G.similar(df(left), df(right)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(set(left) & set(right)) + 50
+
+
+def test_every_slip_is_similar():
+    for w in ("paris", "pariss", "anna-marie", "aabbaabb", "qqqqqqq"):
+        for i in range(len(w)):
+            ways = [w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]]
+            assert all(near(x, w) for x in ways if max(len(grams(x)), len(grams(w))) >= 6), w
+
+
+def test_short_names_with_a_slip(spark):
+    places = spark.createDataFrame([(1, "Paris", "R", "RR", "C", "CC", "x", None), (2, "Bonn", "R", "RR", "C", "CC", "x", None)], SCHEMA)
+    rows = spark.createDataFrame([(1, "Pairs"), (2, "Prais, RR"), (3, "Bnon"), (4, "Bonn"), (5, "Pari")], "id long, location string")
+    assert {r.id: r.place_id for r in G.map_values(rows, places, key="id", value="location").collect()} == {1: 1, 2: 1, 3: 0, 4: 2, 5: 1}
+
+
+def test_a_long_list_is_no_matter(spark):
+    """More entries than any worker is given: the list is joined, not collected."""
+    many = spark.range(250_000).selectExpr("cast(id as int) AS place_id", "concat('town', conv(id, 10, 26)) AS city", "'R' AS region_name", "'RR' AS region_code", "'C' AS country", "'CC' AS country_code", "'' AS full_name", "cast(null as string) AS other_name")
+    rows = spark.createDataFrame([(1, "Town8E"), (2, "remote; TOWN1A2B"), (3, "nowhere")], "id long, location string")
+    got = {r.id: r.place_id for r in G.map_values(rows, many, key="id", value="location").collect()}
+    assert got == {1: int("8E".lower(), 26), 2: int("1a2b", 26), 3: 0}
 
 
 def test_one_slip():
