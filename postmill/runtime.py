@@ -58,6 +58,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -65,9 +72,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
