@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import boilerplate, dress, gazetteer, history_dedup, mixing, splitting, tokens
 from postmill.plans.registry import Registry
-from postmill.runtime import broadcast_if_small, load, materialize, shared_dir
+from postmill.runtime import broadcast_if_small, load, materialize, scratch
 
 R = Registry()
 
@@ -59,34 +57,37 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 _KNOWN = ("id", "batch_no", "company_name", "title", "location", "job_url", "source_name", "external_job_id")
 
 
-def _canonical_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = load(spark, sf, "jobs").select(*_KNOWN)
-    c = history_dedup.canonical(jobs, load(spark, sf, "places"))
-    return materialize(c.join(jobs.select("id", "batch_no"), "id"), "canonical")
+def _history(spark: SparkSession) -> history_dedup.History:
+    return history_dedup.History(spark, scratch(spark, "history"))
 
 
 @R.add("p1_found")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch 0 as the history, the rest as one delivery."""
-    c = _canonical_jobs(spark, sf)
-    kept = history_dedup.History(spark, f"{shared_dir(spark)}/postmill/history-{uuid.uuid4().hex}")
-    kept.append(history_dedup.keys(c.where("batch_no = 0")))
-    found = kept.take(c.where("batch_no >= 1"))
-    return found.select("accepted_id", F.col("id").alias("job_id"))
+    """Batch 0 as the history, the rest as one delivery; rows are read each by itself."""
+    jobs = load(spark, sf, "jobs").select(*_KNOWN)
+    c = materialize(history_dedup.canonical(jobs, load(spark, sf, "places")).join(jobs.select("id", "batch_no"), "id"), "canonical")
+    kept = _history(spark)
+    kept.append(c.where("batch_no = 0"))
+    return kept.take(c.where("batch_no >= 1")).select("accepted_id", F.col("id").alias("job_id"))
 
 
 @R.add("p1_batches")
 def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch after batch against all before it: rows and repeats of each. No batch sees a later one, nor rows of earlier ones."""
+    """Batch after batch against all before it, each read alone: rows, repeats and what found them.
+
+    ``by_id`` and ``by_page`` count rows found by sets of one element, ``by_title`` by equal titles and ``by_slip`` by titles
+    that only bands bring together.
+    """
     jobs, places = load(spark, sf, "jobs").select(*_KNOWN), load(spark, sf, "places")
-    kept = history_dedup.History(spark, f"{shared_dir(spark)}/postmill/history-{uuid.uuid4().hex}")
-    kept.append(history_dedup.keys(kept.canonical(jobs.where("batch_no = 0"), places)))
+    kept = _history(spark)
+    kept.append(materialize(history_dedup.canonical(jobs.where("batch_no = 0"), places), "canonical"))
     sizes = materialize(jobs.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows")).where("batch_no >= 1"), "sizes")
     parts = [r[0] for r in sizes.select("batch_no").orderBy("batch_no").collect()]  # a handful of batch numbers
     out = None
     for b in parts:
-        c = kept.canonical(jobs.where(F.col("batch_no") == b), places)
-        found = kept.take(c).agg(F.count(F.lit(1)).alias("repeats")).withColumn("batch_no", F.lit(b))
+        found = kept.take(materialize(history_dedup.canonical(jobs.where(F.col("batch_no") == b), places), "canonical"))
+        how = [F.count(F.when(F.col("how") == x, 1)).alias(name) for x, name in (("id", "by_id"), ("page", "by_page"), ("equal", "by_title"), ("slip", "by_slip"))]
+        found = found.agg(F.count(F.lit(1)).alias("repeats"), *how).withColumn("batch_no", F.lit(b))
         out = found if out is None else out.union(found)
     return sizes if out is None else sizes.join(out, "batch_no")
 

@@ -34,15 +34,26 @@ def history(spark):
     return H.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
 
 
-def test_one_delivery_and_batches_agree(spark):
-    c = canonical(spark, FILL + ROWS)
-    one = history(spark)
-    one.append(H.keys(c.where("batch_no = 0")))
-    assert {r.id: r.accepted_id for r in one.take(c.where("batch_no > 0")).collect()} == WANT
-    many, got = history(spark), {}
-    many.append(H.keys(c.where("batch_no = 0")))
-    for b in (1, 2, 3):
-        got |= {r.id: r.accepted_id for r in many.take(c.where(f"batch_no = {b}")).collect()}
+def taken(spark, rows):
+    c = canonical(spark, rows)
+    h = history(spark)
+    h.append(c.where("batch_no = 0"))
+    return {r.id: r.accepted_id for r in h.take(c.where("batch_no > 0")).collect()}, h
+
+
+def test_one_delivery(spark):
+    assert taken(spark, FILL + ROWS)[0] == WANT
+
+
+def test_batches_are_read_alone(spark):
+    places, df = spark.createDataFrame(PLACES, SCHEMA), spark.createDataFrame(FILL + ROWS, COLS)
+    h, got = history(spark), {}
+    for b in (0, 1, 2, 3):
+        c = H.canonical(df.where(f"batch_no = {b}"), places)
+        if b:
+            got |= {r.id: r.accepted_id for r in H.History(spark, h.path).take(c).collect()}
+        else:
+            h.append(c)
     assert got == WANT
 
 
@@ -50,18 +61,42 @@ def test_hot_group_and_empty_batch(spark):
     rows = FILL + [(i, 0 if i < 5 else 1, "Acme", "Senior Data Engineer Harbor", "Remote", None, "s", "same") for i in range(1, 400)]
     c = canonical(spark, rows)
     h = history(spark)
-    h.append(H.keys(c.where("batch_no = 0")))
-    assert h.probe(c.limit(0), H.keys(c.limit(0))).count() == 0
+    h.append(c.where("batch_no = 0"))
+    assert h.take(c.limit(0)).count() == 0
+    before = h.keys().count(), h.titles().count()
     got = h.take(c.where("batch_no = 1")).collect()
     assert len(got) == 395 and {r.accepted_id for r in got} == {1}
+    assert (h.keys().count(), h.titles().count()) == before  # nothing new, nothing appended
+
 
+def test_empty_history(spark):
+    c = canonical(spark, [(1, 1, "Acme", "Senior Data Engineer", "Remote", None, "s", "x1"), (2, 1, "Acme", "Senior Data Engineer", "Remote", None, "s", None)])
+    assert {r.id: r.accepted_id for r in history(spark).take(c).collect()} == {2: 1}
 
-def test_a_slip_nobody_could_mend(spark):
+
+def test_a_slip_in_a_rare_word(spark):
     rows = [(1, 0, "Acme", "Zanzibar Quokka Wrangler", "Remote", None, "s", None), (2, 1, "Acme", "Zanzibar Quoka Wrangler", "Remote", None, "s", None), (3, 1, "Acme", "Zanzibar Emu Wrangler", "Remote", None, "s", None)]
-    c = canonical(spark, rows)
+    assert taken(spark, rows)[0] == {2: 1}
+
+
+def test_small_batch_reads_its_partitions_only(spark, monkeypatch):
+    monkeypatch.setattr(H, "BUCKET_ROWS", 64)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rn", "st", "nt", "ck", "sh")]
+    rows = [(i, 0, f"Firm {i}", f"{w} wrangler {words[-i]}", "Remote", None, "s", f"x{i}") for i, w in enumerate(words, 1)]
+    c = canonical(spark, rows + [(9000, 1, "Firm 7", rows[6][3], "Remote", None, "other", None)])
     h = history(spark)
-    h.append(H.keys(c.where("batch_no = 0")))
-    assert {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()} == {2: 1}
+    h.append(c.where("batch_no = 0"))
+    folder, buckets = h._state()
+    assert buckets >= 32
+    asked = []
+    real = h._matching
+    monkeypatch.setattr(h, "_matching", lambda name, schema, key, wanted: asked.append(wanted.select(h._bucket(key, buckets)).distinct().count()) or real(name, schema, key, wanted))
+    assert {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()} == {9000: 7}
+    assert max(asked) <= 2 * H.BANDS < buckets  # a band each, and single ones of a short title
+    before = sorted(map(tuple, h.keys().collect())), h.titles().count()
+    monkeypatch.setattr(H, "BUCKET_ROWS", 256)
+    h.compact()
+    assert h._state()[1] < buckets and (sorted(map(tuple, h.keys().collect())), h.titles().count()) == before
 
 
 @pytest.mark.parametrize(
@@ -84,33 +119,47 @@ def test_slips_are_found_however_often_they_are_repeated(spark):
     rows += [(400 + i, 1, f"Firm {i}", "Senior Inteaim Wrangler", "Remote", None, "s", None) for i in range(2)]
     rows += [(500, 0, "Acme", "Data Data Steward", "Remote", None, "s", None), (501, 1, "Acme", "Dat Data Steward", "Remote", None, "s", None)]
     rows += [(502, 0, "Acme", "Data Steward Level 3", "Remote", None, "s", None), (503, 1, "Acme", "Data Steward Level 4", "Remote", None, "s", None)]
-    c = canonical(spark, rows)
-    h = history(spark)
-    h.append(H.keys(c.where("batch_no = 0")))
-    got = {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()}
-    assert got == {**{200 + i: 1 for i in range(40)}, 400: 300, 401: 301, 501: 500}
+    rows += [(504, 0, "Acme", "Steward Grade VIII", "Remote", None, "s", None), (505, 1, "Acme", "Steward Grade VII", "Remote", None, "s", None)]
+    assert taken(spark, rows)[0] == {**{200 + i: 1 for i in range(40)}, 400: 300, 401: 301, 501: 500}
 
 
-def test_every_one_slip_meets(spark):
-    """No slip is lost by chance: titles of many words, each word misspelt in turn, in each way."""
-    words = "quarterly zanzibar quokka wrangling marble lantern".split()
-    ways = lambda w: [w[:2] + w[3:], w[:2] + "x" + w[2:], w[:2] + "x" + w[3:], w[:2] + w[3] + w[2] + w[4:]]
-    bad = [" ".join([*words[:i], x, *words[i + 1 :]]) for i, w in enumerate(words) for x in ways(w) if x != w]
-    c = canonical(spark, [(1, 0, "Acme", " ".join(words), "Remote", None, "s", None)] + [(10 + i, 1, "Acme", x, "Remote", None, "s", None) for i, x in enumerate(bad)])
-    h = history(spark)
-    h.append(H.keys(c.where("batch_no = 0")))
-    assert {r.id: r.accepted_id for r in h.take(c.where("batch_no = 1")).collect()} == {10 + i: 1 for i in range(len(bad))}
+def slips(w):
+    return {x for x in (w[:2] + w[3:], w[:2] + "x" + w[2:], w[:2] + "x" + w[3:], w[:2] + w[3] + w[2] + w[4:]) if x != w}
 
 
-def test_batches_alone_are_mended_by_the_words_before_them(spark):
-    places, df = spark.createDataFrame(PLACES, SCHEMA), spark.createDataFrame(FILL + ROWS, COLS)
-    h, got = history(spark), {}
-    h.append(H.keys(h.canonical(df.where("batch_no = 0"), places)))
-    for b in (1, 2, 3):
-        c = H.History(spark, h.path).canonical(df.where(f"batch_no = {b}"), places)
-        if b == 1:
-            assert "engineer" in c.where("id = 3").first().words.split()
-        got |= {r.id: r.accepted_id for r in h.take(c).collect()}
-    assert got == WANT
-    words = {r.word: r.n for r in h.words().groupBy("word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
-    assert words["enginer"] == 1 and words["engineer"] == 25 + 6
+def test_every_slip_meets(spark):
+    """Titles of one to six words, each word misspelt in turn, in each way; and slips in two words at once."""
+    words = "quarterly zanzibar quokka wrangling marble lantern".split()
+    rows, want = [], {}
+    for n in range(1, 7):
+        for i in range(n):
+            for x in sorted(slips(words[i])):
+                j = len(rows)
+                rows += [(j, 0, f"Firm {j}", " ".join(words[:n]), "Remote", None, "s", None), (j + 1, 1, f"Firm {j}", " ".join([*words[:i], x, *words[i + 1 : n]]), "Remote", None, "s", None)]
+                want[j + 1] = j
+    j = len(rows)
+    rows += [(j, 0, "Firm", " ".join(words), "Remote", None, "s", None), (j + 1, 1, "Firm", " ".join(["quaterly", "zanzibra", *words[2:]]), "Remote", None, "s", None)]
+    assert taken(spark, rows)[0] == {**want, j + 1: j}
+
+
+def test_bands_miss_what_the_similarity_says():
+    """Shares of pairs that share no band, against (1 - s^r)^b, over many titles."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    titles = [" ".join(word() for _ in range(3)) for _ in range(4000)]
+    bad = [" ".join([*t.split()[:2], t.split()[2][:1] + t.split()[2][2] + t.split()[2][1] + t.split()[2][3:]]) for t in titles]
+    (a, n), (b, m) = H.minwise(titles), H.minwise(bad)
+    x, y = H.bands_of(a, n <= H.FEW), H.bands_of(b, m <= H.FEW)
+    assert sum(not set(p) & set(q) for p, q in zip(x, y)) <= 2
+    equal = (a == b).mean()
+    true = sum(len(H.grams(s) & H.grams(t)) / len(H.grams(s) | H.grams(t)) for s, t in zip(titles, bad)) / len(titles)
+    assert abs(equal - true) < 0.02
+
+
+def test_queries_agree(spark, sf):
+    from postmill.llm import queries as Q
+
+    found, each = Q.p1_found(spark, sf).collect(), Q.p1_batches(spark, sf).collect()
+    assert len(found) == sum(r.repeats for r in each) == sum(r.by_id + r.by_page + r.by_title + r.by_slip for r in each)
