@@ -2,7 +2,7 @@
 
 Every value, read once per distinct text, is cut into its windows (runs of words that may be a name), and all windows
 meet all phrases of the list in one set-similarity join: bigrams ordered by their rarity in the list, only the rare
-prefix of each side joined, length and position filters, Jaccard verified exactly, the best phrase of a window kept. A
+prefix of each side joined, length, position and bitmap filters, Jaccard verified exactly, the best phrase of a window kept. A
 name letter for letter is the case of similarity 1; below that a last check asks that a single slip of the pen lies
 between. Names that entries share are told apart by the region or country beside them, which are phrases of the list
 too. The list is a table like any other; nothing of it is collected.
@@ -185,24 +185,28 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     right, left = materialize(grams(right), "grams"), grams(left.where(F.length("text") <= most + 1))
     rank = materialize(right.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")), "rank")
 
+    bit = lambda x: F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+
     def prefixed(d: DataFrame) -> DataFrame:
         each = d.select("text", F.explode("g").alias("t")).join(broadcast_if_small(rank, 100_000), "t", "left")
-        o = each.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"))
-        o = o.select("text", F.col("o.t").alias("o"), F.col("o.f").alias("f"), F.size("o").alias("n"))
+        o = each.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"), F.bit_or(bit("t")).alias("bits"))
+        o = o.select("text", F.col("o.t").alias("o"), F.col("o.f").alias("f"), F.size("o").alias("n"), "bits")
         keep = F.when(F.col("n") < LEAST_GRAMS - 1, 1).otherwise(LOST + 1)
-        return o.select("text", "o", "n", "f", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).where(F.get("f", F.col("at")) > 0).drop("f")
+        return o.select("text", "o", "n", "f", "bits", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).where(F.get("f", F.col("at")) > 0).drop("f")
 
-    a = prefixed(left).select(F.col("text").alias("left"), F.col("o").alias("lo"), F.col("n").alias("ln"), F.col("at").alias("la"), "t")
-    b = materialize(prefixed(right).select(F.col("text").alias("right"), F.col("o").alias("ro"), F.col("n").alias("rn"), F.col("at").alias("ra"), "t"), "prefix")
+    a = prefixed(left).select(F.col("text").alias("left"), F.col("o").alias("lo"), F.col("n").alias("ln"), F.col("bits").alias("lb"), F.col("at").alias("la"), "t")
+    b = materialize(prefixed(right).select(F.col("text").alias("right"), F.col("o").alias("ro"), F.col("n").alias("rn"), F.col("bits").alias("rb"), F.col("at").alias("ra"), "t"), "prefix")
     larger = F.greatest("ln", "rn")
     need = F.when(larger < LEAST_GRAMS, larger).otherwise(larger - LOST)
     length = F.abs(F.col("ln") - F.col("rn")) <= 1
     # before this token at most min(la, ra) are shared, after it at most the shorter rest
     place = F.least("la", "ra") + F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra")) >= need
+    # bits that one side alone has are bigrams that one side alone has: most pairs end here, before any array is read
+    bitmap = F.bit_count(F.col("lb").bitwiseXOR(F.col("rb"))) <= F.col("ln") + F.col("rn") - 2 * need
     first = F.size(F.array_intersect(F.slice("lo", F.lit(1), F.col("la")), F.slice("ro", F.lit(1), F.col("ra")))) == 0  # each pair at its first common token
     shared = F.size(F.array_intersect("lo", "ro"))
     return (
-        a.join(broadcast_if_small(b, 20_000), "t").where(length & place & first)
+        a.join(broadcast_if_small(b, 20_000), "t").where(length & place & bitmap & first)
         .select("left", "right", "ln", "rn", shared.alias("s"))
         .select("left", "right", (F.col("s") / (F.col("ln") + F.col("rn") - F.col("s"))).alias("similarity"), _bound(F.greatest("ln", "rn")).alias("bound"))
         .where("similarity >= bound - 1e-12").drop("bound")
