@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,7 +224,39 @@ def write_tables(flat: DataFrame, path: str) -> None:
     flat.write.partitionBy("tag").mode("overwrite").parquet(path)
 
 
+def tables(spark: SparkSession, path: str, key_type: str, key: str) -> DataFrame:
+    """All rows of ``write_tables``; empty where none were written."""
+    schema = f"`{key}` {key_type}, path string, parent_path string, ordinal int, kind string, payload string, tag string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def tags(spark: SparkSession, path: str) -> list[str]:
+    """The tables that were written: as many as the records have shapes of paths."""
+    return sorted(r[0] for r in tables(spark, path, "string", "_key").select("tag").distinct().collect())
+
+
+def infer(spark: SparkSession, path: str, tag: str) -> str:
+    """A schema of the scalars of one table: keys of its objects, numbers as double, booleans as boolean, else string."""
+    one = spark.read.parquet(path).where(F.col("tag") == tag)
+    each = one.where("kind = 'object'").select(F.explode(F.from_json("payload", "map<string,string>")).alias("k", "v")).where("v is not null")
+    number, boolean = F.col("v").try_cast("double").isNotNull() & F.col("v").rlike(r"^-?\d"), F.col("v").isin("true", "false")
+    kinds = each.groupBy("k").agg(F.min(number).alias("n"), F.min(boolean).alias("b")).orderBy("k").collect()  # one row per key
+    name = lambda k: "`" + k.replace("`", "``") + "`"
+    return ", ".join(f"{name(r.k)} {'double' if r.n else 'boolean' if r.b else 'string'}" for r in kinds)
+
+
 def table(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """One flat table of ``write_tables`` with the scalars of ``schema`` as columns."""
     flat = spark.read.parquet(path).where(F.col("tag") == tag).drop("tag")
-    return flat.select("*", F.from_json("payload", schema).alias("_p")).select(*[c for c in flat.columns if c != "payload"], "_p.*")
+    kept = [c for c in flat.columns if c != "payload"]
+    if not schema:
+        return flat.select(*kept)
+    parsed = flat.select("*", F.from_json("payload", schema).alias("_p"))
+    inner = parsed.schema["_p"].dataType.names
+    # a scalar named as a column of the table keeps its name behind a mark
+    return parsed.select(*kept, *[F.col("_p").getField(n).alias(f"_{n}" if n in kept else n) for n in inner])

@@ -7,17 +7,19 @@ join is an equality on two short keys against a table of fixed size; the text wo
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.timetext import days_from_civil, days_in_month, month_number, parts, squeeze
 from postmill.runtime import broadcast_if_small
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years the table of offsets holds. Before, no zone has changed yet; the last 28 hold each kind of year (by its first
+#: weekday and length), and stand for all later years of their kind, since zones follow yearly rules by then.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"
 _IANA = r"([A-Za-z]+/[A-Za-z0-9_+\-]+(?:/[A-Za-z0-9_+\-]+)?)"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -53,10 +55,26 @@ def offset_changes(zone: str) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+def _kind_of_year(y: int) -> int:
+    return date(y, 1, 1).weekday() * 2 + (y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))
+
+
+def table_year(y: Column) -> tuple[Column, Column]:
+    """(year of the table whose offsets hold in ``y``, days from that year to ``y``)."""
+    jan1 = days_from_civil(y, F.lit(1), F.lit(1))
+    weekday = F.pmod(jan1 + 3, F.lit(7))  # 1970-01-01 was a Thursday; 0 is Monday
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    kind = (weekday * 2 + leap.cast("int")).cast("int")
+    like = {_kind_of_year(x): x for x in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    late = F.get(F.array(*[F.lit(like[k]) for k in range(14)]), kind)
+    days = F.get(F.array(*[F.lit((date(like[k], 1, 1) - date(1970, 1, 1)).days) for k in range(14)]), kind)
+    return F.when(y > LAST_YEAR, late).otherwise(F.greatest(y, F.lit(FIRST_YEAR))).cast("int"), F.when(y > LAST_YEAR, jan1 - days).otherwise(F.lit(0))
+
+
 def zone_intervals(spark: SparkSession, zones: list[str]) -> DataFrame:
     """zone, year -> the offset intervals that can hold a wall time of that year (with two days' halo).
 
-    At most 600 zones times 201 years; a few thousand rows for the zones in use.
+    At most 600 zones times 329 years; a few thousand rows for the zones in use.
     """
     rows, us = [], 1_000_000
     for zone in zones:
@@ -142,14 +160,17 @@ def read_instants(values: DataFrame, sources: DataFrame, abbrevs: DataFrame, *,
         "_ts_off": off_min,
         "_ts_named": zone,
         "_ts_a": F.when(off_min.isNull() & z.rlike("^[A-Za-z]{1,6}$"), F.upper(z)),
-        "_ts_yk": F.least(F.greatest(y, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)).cast("int"),
+        "_ts_yk": table_year(y)[0],
+        # the wall time in the year of the table; made before the joins, or every lambda below would make it anew
+        "_ts_at": F.col("_ts_local") - table_year(y)[1] * 86_400_000_000,
     })
     df = df.join(broadcast_if_small(abb, 10_000), F.col("_ts_a") == F.col("_ts_abb"), "left")
     df = df.join(F.broadcast(table), (F.col("_ts_named") == F.col("_ts_z")) & (F.col("_ts_yk") == F.col("_ts_y")), "left")
 
     lt = F.col("_ts_local")
-    hold = F.filter("_ts_spans", lambda x: (x.from_us <= lt) & (lt < x.to_us))
-    past = F.filter("_ts_spans", lambda x: x.to_us <= lt)
+    at = F.col("_ts_at")
+    hold = F.filter("_ts_spans", lambda x: (x.from_us <= at) & (at < x.to_us))
+    past = F.filter("_ts_spans", lambda x: x.to_us <= at)
     most = F.array_max(F.transform(hold, lambda x: x.off_us))  # the larger offset is the earlier instant
     before = F.element_at(past, -1).off_us
     bare = F.col("_ts_t").rlike(r"^[+-]?\d+(\.\d+)?$")

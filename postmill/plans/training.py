@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators.flatten import flatten
+from postmill.operators.flatten import flatten, infer, table, tables, tags, write_tables
 from postmill.operators.history import validity
 from postmill.operators.timestamps import posting_instants
 from postmill.plans.registry import Registry
-from postmill.runtime import load
+from postmill.runtime import load, scratch
 
 R = Registry()
 
@@ -29,7 +29,14 @@ def p3_basis(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten(load(spark, sf, "jobs"), "id", "raw_payload_json", with_payload=False).select(F.col("id").alias("job_id"), "path", "parent_path")
+    """The whole pass, payloads included, written by tag; the links are read back from what was written."""
+    return _written(spark, sf)[0].select(F.col("id").alias("job_id"), "path", "parent_path")
+
+
+def _written(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    path = scratch(spark, "tables")
+    write_tables(flatten(load(spark, sf, "jobs"), "id", "raw_payload_json"), path)
+    return tables(spark, path, "bigint", "id"), path
 
 
 @R.add("p4_tables")
@@ -38,6 +45,25 @@ def p4_tables(spark: SparkSession, sf: str) -> DataFrame:
     return flatten(load(spark, sf, "jobs"), "id", "raw_payload_json").withColumnRenamed("id", "job_id")
 
 
+@R.add("p4_links")
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per table: its rows, its columns by an inferred schema, and how many parent links lead to a row of the
+    table they should lead to; the rest hang on the record itself."""
+    found, path = _written(spark, sf)
+    out = None
+    for tag in tags(spark, path):
+        schema = infer(spark, path, tag)
+        one = table(spark, path, tag, schema)
+        above = tag.removesuffix("[]").rsplit("[]", 1)
+        t = one.select("id", "parent_path").where("parent_path <> '$'")
+        parents = found.where(F.col("tag") == above[0] + "[]").select("id", F.col("path").alias("parent_path"), F.lit(1).alias("_there")) if len(above) == 2 else None
+        t = t.join(parents, ["id", "parent_path"], "left") if parents is not None else t.withColumn("_there", F.lit(None).cast("int"))
+        counts = t.agg(F.count(F.lit(1)).alias("below"), F.count("_there").alias("linked"))
+        row = one.agg(F.count(F.lit(1)).alias("n_rows")).join(counts).select(F.lit(tag).alias("tag"), F.lit(len(one.columns) - 5).alias("n_columns"), "n_rows", "below", "linked")
+        out = row if out is None else out.union(row)
+    return out if out is not None else spark.createDataFrame([], "tag string, n_columns int, n_rows bigint, below bigint, linked bigint")
+
+
 @R.add(
     "p5_found",
     """

@@ -59,3 +59,16 @@ def test_rows(spark, tmp_path):
     t = N.table(spark, str(tmp_path / "t"), "$.x[]", "k string, `o.n` int")
     assert sorted((r.path, r.k, r["o.n"]) for r in t.collect()) == [("$.x[0]", "v", 3), ("$.x[1]", None, None)]
     assert N.flatten(df.limit(0), "id", "raw").count() == 0
+
+
+def test_written_tables_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, '{"x": [{"k": 1.5, "path": "p", "y": [{"z": true}, 7]}, {"k": 2}]}'), (2, '{"x": [{"k": 3, "y": []}]}'), (2, '{"x": []}')]
+    N.write_tables(N.flatten(spark.createDataFrame(rows, "id long, raw string"), "id", "raw"), path)
+    assert N.tags(spark, path) == ["$.x[]", "$.x[].y[]"]
+    assert N.infer(spark, path, "$.x[]") == "`k` double, `path` string" and N.infer(spark, path, "$.x[].y[]") == "`z` boolean"
+    x = N.table(spark, path, "$.x[]", N.infer(spark, path, "$.x[]"))
+    y = N.table(spark, path, "$.x[].y[]", N.infer(spark, path, "$.x[].y[]"))
+    assert sorted((r.id, r.path, r.k, r["_path"]) for r in x.collect()) == [(1, "$.x[0]", 1.5, "p"), (1, "$.x[1]", 2.0, None), (2, "$.x[0]", 3.0, None)]
+    assert y.join(x, [y.id == x.id, y.parent_path == x.path]).count() == y.count() == 2
+    assert N.tables(spark, str(tmp_path / "none"), "bigint", "id").count() == 0

@@ -76,3 +76,22 @@ def test_rows_and_clashing_columns(spark, side):
     got = sorted((r.job_id, r.field, r.utc_micros) for r in out.collect() if r.utc_micros is not None)
     assert got == [(1, "first_seen_at", utc(2024, 1, 1)), (1, "last_seen", utc(2024, 1, 31, 23))]
     assert posting_instants(jobs.limit(0), *side).count() == 0
+
+
+def test_years_beyond_the_table(spark):
+    """Wall times of far years against the zone's own rule."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    from postmill.operators.timestamps import read_instants
+
+    rows = [(f"{y}-{m:02d}-{d:02d} {h:02d}:30:00", z) for y in (1500, 1799, 1850, 1901, 2037, 2087, 2100, 2101, 2128, 2129, 2150, 2200, 2399, 2400, 2401, 9998) for m, d in ((1, 1), (3, 9), (3, 29), (7, 1), (10, 28), (11, 4), (12, 31)) for h in (0, 12, 23) for z in ("America/Toronto", "Europe/Berlin", "Australia/Sydney", "Africa/Casablanca")]
+    values = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(rows)], "n long, value string, source_name string")
+    sources = spark.createDataFrame([(z, z, "DMY") for z in sorted({r[1] for r in rows})], "source_name string, time_zone string, date_order string")
+    abbrevs = spark.createDataFrame([], "abbrev string, utc_offset_minutes int")
+    got = {r.n: (r.utc_micros, r.basis) for r in read_instants(values, sources, abbrevs).collect()}
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    for i, (t, z) in enumerate(rows):
+        want = (datetime.fromisoformat(t).replace(tzinfo=ZoneInfo(z)) - epoch) // timedelta(microseconds=1)
+        assert got[i][0] == want, (t, z, got[i])
+    assert got[next(i for i, r in enumerate(rows) if r == ("2150-07-01 12:30:00", "America/Toronto"))][1] == "zone"
