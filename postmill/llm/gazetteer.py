@@ -185,11 +185,11 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     right, left = materialize(grams(right), "grams"), grams(left.where(F.length("text") <= most + 1))
     rank = materialize(right.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")), "rank")
 
-    bit = lambda x: F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(t), 64) as int))")
 
     def prefixed(d: DataFrame) -> DataFrame:
         each = d.select("text", F.explode("g").alias("t")).join(broadcast_if_small(rank, 100_000), "t", "left")
-        o = each.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"), F.bit_or(bit("t")).alias("bits"))
+        o = each.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"), F.bit_or(bit).alias("bits"))
         o = o.select("text", F.col("o.t").alias("o"), F.col("o.f").alias("f"), F.size("o").alias("n"), "bits")
         keep = F.when(F.col("n") < LEAST_GRAMS - 1, 1).otherwise(LOST + 1)
         return o.select("text", "o", "n", "f", "bits", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).where(F.get("f", F.col("at")) > 0).drop("f")
