@@ -161,11 +161,22 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if la > lb else a[i:] == b[i + 1 :]
 
 
-def bigrams(c):
-    """Set of bigrams of a text with its ends marked; a repeated bigram carries its number."""
-    t = F.concat(F.lit("^"), c, F.lit("$"))
-    raw = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return F.transform(raw, lambda x, i: F.concat(x, F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+def bigrams(text: str) -> list[str]:
+    """Bigrams of a text with its ends marked; a repeated bigram carries its number."""
+    t, seen, out = f"^{text}$", {}, []
+    for i in range(len(t) - 1):
+        g = t[i : i + 2]
+        seen[g] = seen.get(g, 0) + 1
+        out.append(f"{g}{seen[g]}")
+    return out
+
+
+def _with_grams(d: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bigrams(x) for x in b.column(0).to_pylist()], pa.list_(pa.string()))], ["text", "g"])
+
+    return d.where(F.length("text") > 0).select("text").mapInArrow(run, "text string, g array<string>")
 
 
 def _bound(m: Column) -> Column:
@@ -180,9 +191,8 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     the four rarest bigrams of each. Rarity is counted over ``right``; bigrams it has not come first, so a text that is like
     nothing there joins nothing.
     """
-    grams = lambda d: d.where(F.length("text") > 0).select("text", bigrams(F.col("text")).alias("g"))
     most = right.agg(F.max(F.length("text"))).first()[0] or 0
-    right, left = materialize(grams(right), "grams"), grams(left.where(F.length("text") <= most + 1))
+    right, left = materialize(_with_grams(right), "grams"), _with_grams(left.where(F.length("text") <= most + 1))
     rank = materialize(right.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")), "rank")
 
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(t), 64) as int))")
