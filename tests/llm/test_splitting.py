@@ -56,6 +56,23 @@ def test_pieces(made):
     assert all(r.text == t[r.doc_id][r.start_char : r.end_char] for r in with_text)
 
 
+def test_ranges_give_what_the_whole_gives(spark, monkeypatch, tmp_path):
+    """The same pieces, with the same numbers of ids, whether texts are read whole, in small ranges, or as files."""
+    t = [x for x in texts() if x] + ["y" * 9000 + " \n\n " * 900 + "Ende. (next) z" * 50, "é" * 5000 + "x", " " * 5000 + "a b"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(t)] + [(0, t[0])], "doc_id long, text string")
+    limits = spark.createDataFrame(LIMITS, "limit_name string, tokenizer string, max_tokens int, overlap_tokens int")
+    rows = lambda df, k="doc_id": sorted((str(r[k]), *(r[c] for c in ("limit_name", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "boundary"))) for r in df.collect())
+    monkeypatch.setattr(S, "RANGE", 10**9)
+    want = rows(S.pieces(docs, limits))
+    (tmp_path / "a.txt").write_text(t[15] * 3, newline="")
+    monkeypatch.setattr(S, "RANGE", 9_000)
+    got = rows(S.pieces(docs, limits))
+    assert len(got) == len(want)
+    assert [x for x in got if x not in set(want)] == []
+    one = rows(S.pieces(spark.createDataFrame([("f", t[15] * 3)], "doc_id string, text string"), limits))
+    assert [x[1:] for x in rows(S.pieces_of_files(spark, [f"file://{tmp_path}/a.txt"], limits), "path")] == [x[1:] for x in one] and len(one) > 3
+
+
 def test_natural_boundaries(made):
     t, rows, _ = made
     para = [r for r in rows if r.doc_id == 7 and r.limit_name == "b"]
