@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import classify as C
 from postmill.operators import observe as O
+from postmill.operators.identity import keep_first
 from postmill.runtime import load
 
 #: Tables that become views. Fixed values.
@@ -29,7 +30,7 @@ class Catalog:
     def jobs(self, status: str | None = None) -> DataFrame:
         """Postings with what is known of their company, best first."""
         j = self.table("jobs") if status is None else self.table("jobs").where(F.col("status") == status)
-        c = self.table("companies").select(F.col("name").alias("_name"), "sector", "category", "priority").dropDuplicates(["_name"])
+        c = keep_first(self.table("companies"), [F.col("name")], F.asc("id")).select(F.col("name").alias("_name"), "sector", "category", "priority")
         return j.join(c, j.company_name == F.col("_name"), "left").drop("_name").orderBy(F.desc("match_score"), F.desc("last_seen_at"), F.desc("id"))
 
     def new_jobs(self) -> DataFrame:

@@ -89,12 +89,28 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
 
     def commit(self, df: DataFrame) -> int:
+        """The next version. Of two writers that began from the same version, the later one to finish fails: a version is
+        taken by making its marker, which exists once. The pointer is written aside and renamed, so no reader meets half of it."""
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        p, fs = self._file("CURRENT")
-        out = fs.create(p, True)
+        marker, fs = self._file(f"v{v}.taken")
+        if not fs.createNewFile(marker):
+            raise RuntimeError(f"version {v} is being written by another run; remove {marker} if that run is dead")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        except Exception:
+            fs.delete(marker, False)
+            raise
+        aside, _ = self._file(f"CURRENT.{v}")
+        out = fs.create(aside, True)
         out.writeBytes(f"{v}\n")
         out.close()
+        p, _ = self._file("CURRENT")
+        jvm = self.spark.sparkContext._jvm
+        over = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = option
+        over.rename(aside, p, options)
         return v
 
     def drop_before(self, version: int) -> None:

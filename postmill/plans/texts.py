@@ -100,3 +100,19 @@ _PAGE = f"CASE WHEN {S.host('job_url')} IS NOT NULL THEN {S.scheme('job_url')} |
 def url_posting_ids(spark: SparkSession, sf: str) -> DataFrame:
     p = U.posting_ids(F.col("job_url"))
     return _jobs(spark, sf, "job_url").select("id", p["requisition_id"].alias("requisition_id"), p["page"].alias("page"))
+
+
+@R.add("boolish", "SELECT id, lower(trim(coalesce(priority, ''))) IN ('true', 'yes', '1', 'y') AS boolish, CASE WHEN lower(trim(coalesce(status, ''))) IN ('true', 'yes', '1', 'y') THEN true WHEN lower(trim(coalesce(status, ''))) IN ('false', 'no', '0', 'n') THEN false END AS state FROM companies")
+def boolish(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "companies").select("id", T.parse_boolish(F.col("priority")).alias("boolish"), T.parse_bool(F.col("status")).alias("state"))
+
+
+@R.add("table_cells", "SELECT id, coalesce(nullif(replace(replace(trim(coalesce(description, '')), '|', '\\|'), chr(10), ' '), ''), '-') AS cell, CASE WHEN match_score >= 60 THEN 'Yes' ELSE 'No' END AS good FROM jobs")
+def table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _jobs(spark, sf, "description", "match_score").select("id", T.cell(F.col("description")).alias("cell"), T.yes_no(F.col("match_score") >= 60).alias("good"))
+
+
+@R.add("notes_with_reason", f"""WITH n AS (SELECT id, {S.blank_to_null('notes')} AS o, {S.blank_to_null('reason')} AS r FROM interventions)
+    SELECT id, CASE WHEN r IS NULL THEN o WHEN o IS NULL THEN r WHEN contains(o, r) THEN o ELSE o || chr(10) || chr(10) || r END AS notes FROM n""")
+def notes_with_reason(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "interventions").select("id", T.merge_notes(F.col("notes"), F.col("reason")).alias("notes"))

@@ -47,3 +47,16 @@ def test_place_in(spark):
     rows = [("We hire in  Toronto, ON, Canada now",), ("remote anywhere",), ("remote " + "x" * 300,), ("nothing",), (None,), ("São Paulo, SP",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.place_in(F.col("t"), ["remote"])).collect()]
     assert got == ["Toronto, ON", "remote anywhere", None, None, None, "São Paulo, SP"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    import pytest
+
+    from postmill.operators.merge import Snapshots
+
+    a, b = Snapshots(spark, str(tmp_path / "s")), Snapshots(spark, str(tmp_path / "s"))
+    assert (a.version(), a.read()) == (0, None) and a.commit(spark.range(3)) == 1 and a.commit(spark.range(5)) == 2
+    b.version = lambda: 1  # began before the last commit
+    with pytest.raises(RuntimeError):
+        b.commit(spark.range(1))
+    assert a.version() == 2 and a.read().count() == 5
